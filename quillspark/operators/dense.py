@@ -184,13 +184,18 @@ def knn_cells(queries: DataFrame, base: DataFrame, centres: np.ndarray, k: int =
     probes = queries.select("qid", "v", F.explode(_cells_of(centres, probe)(F.col("v")))
                             .alias("cell"))
     asked = probes.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("nq"))
-    grid = F.broadcast(blocks.join(asked, "cell"))  # at most one row per centre
-    b = (base.select("cell", "id", "v").join(grid, "cell")
-         .withColumn("gb", F.pmod(F.xxhash64("id"), F.col("nb")))
-         .withColumn("gq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))))
-    q = (probes.join(grid, "cell")
-         .withColumn("gq", F.pmod(F.xxhash64("qid"), F.col("nq")))
-         .withColumn("gb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))))
+    grid = blocks.join(asked, "cell")  # at most one row per centre, so broadcast below
+
+    def sides(prefix):
+        return F.broadcast(grid.select("cell", F.col("nb").alias(f"{prefix}_nb"),
+                                       F.col("nq").alias(f"{prefix}_nq")))
+
+    b = (base.select("cell", "id", "v").join(sides("b"), "cell")
+         .withColumn("gb", F.pmod(F.xxhash64("id"), F.col("b_nb")))
+         .withColumn("gq", F.explode(F.sequence(F.lit(0), F.col("b_nq") - 1))))
+    q = (probes.join(sides("q"), "cell")
+         .withColumn("gq", F.pmod(F.xxhash64("qid"), F.col("q_nq")))
+         .withColumn("gb", F.explode(F.sequence(F.lit(0), F.col("q_nb") - 1))))
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

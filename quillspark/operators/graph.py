@@ -84,8 +84,9 @@ def mentions(tokens: DataFrame, links: DataFrame) -> DataFrame:
     """
     toks = tokens.select("token").distinct()
     lengths = toks.agg(F.collect_set(F.length("token"))).scalar()  # few distinct lengths
-    names = links.select(F.explode(F.array("source", "target")).alias("name")).distinct()
-    hits = (names.select("name", F.explode(_substrings(F.col("name"), lengths)).alias("token"))
+    names = (links.select(F.explode(F.array("source", "target")).alias("name")).distinct()
+             .withColumn("ls", lengths))
+    hits = (names.select("name", F.explode(_substrings(F.col("name"), F.col("ls"))).alias("token"))
             .join(toks, "token", "left_semi"))
     by_query = (tokens.join(hits, "token").select("qid", "name").distinct())
     by_source = by_query.join(links, by_query["name"] == links["source"])

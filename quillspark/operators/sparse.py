@@ -1,7 +1,7 @@
 """Sparse retrieval: inverted index tables and BM25.
 
-The index is three tables: ``postings(term, id, tf, dl)``, ``term_stats(term,
-df, idf)`` and a one-row corpus summary. Saved indexes are bucketed by term.
+The index is ``postings(term, id, tf, dl)`` and ``term_stats(term, df, raw)``
+plus three numbers about the corpus. A saved index is bucketed by term.
 """
 
 from __future__ import annotations
@@ -14,62 +14,80 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions.text import tokenize
+from ..session import written
 from .ranking import top_n
 
+# Posting rows that a query set may read before pruning pays off.
+DIRECT_ROWS = 20_000_000
+UNIT = 1e9
+
 
 @dataclass
 class SparseIndex:
     postings: DataFrame
     term_stats: DataFrame
-    corpus: DataFrame  # one row: n_docs, avg_len, mean_idf
+    n_docs: int
+    avg_len: float
+    mean_idf: float
 
 
 def build_postings(docs: DataFrame, tokenizer=None) -> DataFrame:
-    """(id, text) -> (term, id, tf, dl). All tokens of a document are in one row, so the
-    map-side combine already yields the final counts and the shuffle moves postings only."""
-    toks = docs.select("id", tokenize(F.col("text"), tokenizer).alias("ts"))
-    return (toks.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-            .groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
+    """(id, text) -> (term, id, tf, dl).
+
+    A document's tokens are sorted and run-length counted inside its row, so
+    building the postings moves nothing between tasks.
+    """
+    toks = docs.select("id", F.sort_array(tokenize(F.col("text"), tokenizer)).alias("ts"))
+    size = F.size("ts")
+    starts = F.filter(F.sequence(F.lit(0), size - 1),
+                      lambda i: (i == 0) | (F.get("ts", i) != F.get("ts", i - 1)))
+    runs = F.transform("starts", lambda p, i: F.struct(
+        F.get("ts", p).alias("term"),
+        (F.coalesce(F.get("starts", i + 1), F.col("dl")) - p).cast("bigint").alias("tf")))
+    return (toks.filter(size > 0).select("id", "ts", size.alias("dl"), starts.alias("starts"))
+            .select("id", "dl", F.explode(runs).alias("p"))
+            .select("p.term", "id", "p.tf", "dl"))
 
 
 def raw_idf(n: Column, df: Column) -> Column:
     return F.log(n - df + F.lit(0.5)) - F.log(df + F.lit(0.5))
 
 
-def corpus_lengths(docs: DataFrame, tokenizer=None) -> DataFrame:
-    return docs.agg(F.count("*").alias("n_docs"),
-                    F.avg(F.size(tokenize(F.coalesce("text", F.lit("")), tokenizer)))
-                    .alias("avg_len"))
+def summarise(postings: DataFrame, n_docs: int) -> SparseIndex:
+    """Statistics of written postings; only three numbers reach the driver."""
+    tokens = postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    stats = written(postings.groupBy("term").agg(F.count("*").alias("df"))
+                    .withColumn("raw", raw_idf(F.lit(n_docs), F.col("df"))))
+    mean = stats.agg(F.coalesce(F.avg("raw"), F.lit(0.0))).first()[0]
+    return SparseIndex(postings, stats, n_docs, tokens / max(n_docs, 1), mean)
+
+
+def build_index(docs: DataFrame, tokenizer=None) -> SparseIndex:
+    """Index of (id, text). The postings are written once, then everything reads them."""
+    return summarise(written(build_postings(docs, tokenizer)), docs.count())
 
 
-def build_index(docs: DataFrame, epsilon: float = P.BM25_EPSILON, tokenizer=None) -> SparseIndex:
-    """BM25 statistics. A negative idf is replaced by ``epsilon`` times the mean
-    idf of the whole vocabulary (negative ones included)."""
-    postings = build_postings(docs, tokenizer)
-    lengths = corpus_lengths(docs, tokenizer)
-    n = lengths.select("n_docs").scalar()
-    counts = (postings.groupBy("term").agg(F.count("*").alias("df"))
-              .withColumn("raw", raw_idf(n, F.col("df"))))
-    mean = counts.agg(F.avg("raw").alias("mean_idf"))
-    mean_idf = mean.scalar()
-    stats = counts.select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * mean_idf)
-                          .otherwise(F.col("raw")).alias("idf"))
-    corpus = lengths.withColumn("mean_idf", mean_idf)
-    return SparseIndex(postings, stats, corpus)
+def extend_index(index: SparseIndex, docs: DataFrame, tokenizer=None) -> SparseIndex:
+    """Only the new documents are tokenised; the statistics are taken anew."""
+    both = index.postings.unionByName(written(build_postings(docs, tokenizer)))
+    return summarise(both, index.n_docs + docs.count())
 
 
-def save_index(index: SparseIndex, database_table: str, buckets: int) -> None:
+def save_index(index: SparseIndex, table: str, buckets: int) -> None:
     """Tables bucketed by term: scoring then joins without moving the postings."""
     for name, df in (("postings", index.postings), ("terms", index.term_stats)):
         (df.write.bucketBy(buckets, "term").sortBy("term").mode("overwrite")
-         .saveAsTable(f"{database_table}_{name}"))
-    index.corpus.write.mode("overwrite").saveAsTable(f"{database_table}_corpus")
+         .saveAsTable(f"{table}_{name}"))
+    spark = index.postings.sparkSession
+    row = [(index.n_docs, index.avg_len, index.mean_idf)]
+    (spark.createDataFrame(row, "n_docs BIGINT, avg_len DOUBLE, mean_idf DOUBLE")
+     .write.mode("overwrite").saveAsTable(f"{table}_corpus"))
 
 
-def load_index(spark, database_table: str) -> SparseIndex:
-    return SparseIndex(spark.table(f"{database_table}_postings"),
-                       spark.table(f"{database_table}_terms"),
-                       spark.table(f"{database_table}_corpus"))
+def load_index(spark, table: str) -> SparseIndex:
+    c = spark.table(f"{table}_corpus").first()
+    return SparseIndex(spark.table(f"{table}_postings"), spark.table(f"{table}_terms"),
+                       c["n_docs"], c["avg_len"], c["mean_idf"])
 
 
 def query_terms(queries: DataFrame, tokenizer=None) -> DataFrame:
@@ -78,87 +96,116 @@ def query_terms(queries: DataFrame, tokenizer=None) -> DataFrame:
             .groupBy("qid", "term").agg(F.count("*").alias("qf")))
 
 
-def _saturation(tf: Column, dl: Column, avg_len: Column, k1: float, b: float) -> Column:
-    return tf * F.lit(k1 + 1) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * dl / avg_len))
+def _weights(index: SparseIndex, terms: DataFrame, epsilon: float) -> DataFrame:
+    """Query terms with df and idf. A negative idf is replaced by ``epsilon`` times
+    the mean idf of the whole vocabulary, negative ones included."""
+    idf = F.when(F.col("raw") < 0, F.lit(epsilon * index.mean_idf)).otherwise(F.col("raw"))
+    return terms.join(index.term_stats, "term").select("qid", "term", "qf", "df", idf.alias("idf"))
 
 
-def _weights(index: SparseIndex, terms: DataFrame) -> DataFrame:
-    return terms.join(index.term_stats, "term")
+def _part(index: SparseIndex, k1: float, b: float) -> Column:
+    """One term's share of a document's score, as a whole number of 1e-9 units.
+
+    Whole numbers add up alike in any order, so scores and ranks do not depend
+    on how the shuffle happened to deliver the rows.
+    """
+    length = F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(index.avg_len)
+    tf = F.col("tf")
+    share = F.col("qf") * F.col("idf") * (tf * F.lit(k1 + 1) / (tf + F.lit(k1) * length))
+    return F.floor(share * F.lit(UNIT) + F.lit(0.5))
 
 
-def _contributions(index: SparseIndex, weighted: DataFrame, k1: float, b: float) -> DataFrame:
-    avg_len = index.corpus.select("avg_len").scalar()
-    part = F.col("qf") * F.col("idf") * _saturation(F.col("tf"), F.col("dl"), avg_len, k1, b)
-    return index.postings.join(weighted, "term").withColumn("part", part)
+def _parts(index: SparseIndex, weighted: DataFrame, k1: float, b: float) -> DataFrame:
+    return index.postings.join(weighted, "term").withColumn("part", _part(index, k1, b))
 
 
-def bm25_scores(index: SparseIndex, queries: DataFrame, k1: float = P.BM25_K1,
-                b: float = P.BM25_B, tokenizer=None) -> DataFrame:
+def bm25_scores(index: SparseIndex, queries: DataFrame, k1: float = P.BM25_K1, b: float = P.BM25_B,
+                epsilon: float = P.BM25_EPSILON, tokenizer=None) -> DataFrame:
     """(qid, id, score) of every document that shares a term with the query."""
-    weighted = _weights(index, query_terms(queries, tokenizer))
-    return (_contributions(index, weighted, k1, b).groupBy("qid", "id")
-            .agg(F.round(F.sum("part"), 6).alias("score")))
+    weighted = _weights(index, query_terms(queries, tokenizer), epsilon)
+    return _scored(_parts(index, weighted, k1, b))
+
+
+def _scored(parts: DataFrame) -> DataFrame:
+    total = F.sum("part")
+    return parts.groupBy("qid", "id").agg(
+        (F.floor((total + 500) / F.lit(1000.0)) / F.lit(1e6)).alias("score"))
 
 
 def bm25_top(index: SparseIndex, queries: DataFrame, n: int = P.SPARSE_K, positive: bool = True,
-             k1: float = P.BM25_K1, b: float = P.BM25_B, seed_share: float = 0.1,
-             tokenizer=None) -> DataFrame:
-    """Exact top ``n`` per query without reading the longest posting lists.
+             k1: float = P.BM25_K1, b: float = P.BM25_B, epsilon: float = P.BM25_EPSILON,
+             direct_rows: int = DIRECT_ROWS, tokenizer=None) -> DataFrame:
+    """Exact top ``n`` per query: (qid, id, score, rank), by rounded score, ties by id.
+
+    ``positive`` keeps scores above 0 only. When the query terms' posting lists
+    add up to more than ``direct_rows``, the longest lists are left unread.
+    """
+    weighted = written(_weights(index, query_terms(queries, tokenizer), epsilon))
+    volume = weighted.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    if volume <= direct_rows:
+        scores = _scored(_parts(index, weighted, k1, b))
+    else:
+        scores = _pruned_scores(index, weighted, n, k1, b)
+    if positive:
+        scores = scores.filter(F.col("score") > 0)
+    return top_n(scores, ["qid"], [F.desc("score"), "id"], n)
+
+
+def _pruned_scores(index: SparseIndex, weighted: DataFrame, n: int, k1: float, b: float,
+                   seed_share: float = 0.1) -> DataFrame:
+    """Full scores of all documents that can be among a query's best ``n``.
 
     1. A query's rarest terms (about ``seed_share`` of its postings) give
        partial scores; the n-th best, less what negative terms can take away, is
        a floor under the true n-th score.
-    2. A document that holds only the commonest terms cannot reach that floor
-       once the upper bounds of those terms add up to less than it. Only the
-       other ("essential") terms' postings are read in full.
-    3. Documents that can still reach the floor get their remaining terms by an
-       equality join on (term, id), which has no hot keys.
-
-    Ranked by rounded score, ties by id; ``positive`` keeps scores above 0 only.
+    2. A document that holds only the commonest terms cannot reach the floor
+       when the upper bounds of those terms add up to less. Only the other
+       ("essential") terms' postings are read, and they raise the floor again.
+    3. The few documents that can still reach it get their remaining terms by
+       an equality join on (term, id), which has no hot keys.
     """
-    slack = 1e-5
-    w = _weights(index, query_terms(queries, tokenizer))
-    bound = F.col("qf") * F.col("idf") * F.lit(k1 + 1)
-    rare_first = W.partitionBy("qid").orderBy(F.desc("idf"), "term")
+    slack = 1e-5 * UNIT
+    bound = F.col("qf") * F.col("idf") * F.lit((k1 + 1) * UNIT)
     whole = W.partitionBy("qid")
+    rare_first = whole.orderBy(F.desc("idf"), "term")
     after = rare_first.rowsBetween(W.currentRow, W.unboundedFollowing)
-    w = (w.withColumn("ub", F.greatest(bound, F.lit(0.0)))
-         .withColumn("lb", F.least(bound, F.lit(0.0)))
+    before = rare_first.rowsBetween(W.unboundedPreceding, -1)
+    w = (weighted.withColumn("ub", F.greatest(bound, F.lit(0.0)))
+         .withColumn("drop_all", F.sum(F.least(bound, F.lit(0.0))).over(whole))
          .withColumn("from_here", F.sum("ub").over(after))
-         .withColumn("drop_all", F.sum("lb").over(whole))
-         .withColumn("seen_df", F.sum("df").over(
-             rare_first.rowsBetween(W.unboundedPreceding, -1)))
-         .withColumn("all_df", F.sum("df").over(whole)))
-    is_seed = F.coalesce("seen_df", F.lit(0)) <= F.col("all_df") * seed_share
-    seeds = w.filter(is_seed & (F.col("idf") > 0))
-    partial = (_contributions(index, seeds, k1, b).groupBy("qid", "id")
-               .agg(F.sum("part").alias("s"), F.max("drop_all").alias("drop_all")))
-    nth = top_n(partial, ["qid"], [F.desc("s"), "id"], n, "r").filter(F.col("r") == n)
-    floors = nth.select("qid", (F.col("s") + F.col("drop_all") - slack).alias("floor"))
-    w = w.join(floors, "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    w = w.withColumn("essential", F.col("from_here") >= F.col("floor"))
+         .withColumn("seed", (F.col("idf") > 0) & (
+             F.coalesce(F.sum("df").over(before), F.lit(0))
+             <= F.sum("df").over(whole) * seed_share)))
+
+    def floors(partial):
+        nth = top_n(partial, ["qid"], [F.desc("s"), "id"], n, "r").filter(F.col("r") == n)
+        return nth.select("qid", (F.col("s") + F.col("drop_all") - slack).alias("floor"))
+
+    def partial_scores(terms):
+        return (_parts(index, terms, k1, b).groupBy("qid", "id")
+                .agg(F.sum("part").alias("s"), F.max("drop_all").alias("drop_all"),
+                     F.max("rest_ub").alias("rest_ub")))
+
+    lowest = F.lit(float("-inf"))
+    seeds = w.filter("seed").withColumn("rest_ub", F.lit(0.0))
+    w = w.join(floors(partial_scores(seeds)), "qid", "left").withColumn(
+        "essential", F.col("from_here") >= F.coalesce("floor", lowest))
     rest_ub = F.sum(F.when(~F.col("essential"), F.col("ub"))).over(whole)
-    w = w.withColumn("rest_ub", F.coalesce(rest_ub, F.lit(0.0)))
-    scored = (_contributions(index, w.filter("essential"), k1, b).groupBy("qid", "id")
-              .agg(F.sum("part").alias("s"), F.max("rest_ub").alias("rest_ub"),
-                   F.max("floor").alias("floor"))
-              .filter(F.col("s") + F.col("rest_ub") >= F.col("floor")))
+    w = written(w.withColumn("rest_ub", F.coalesce(rest_ub, F.lit(0.0))).drop("floor"))
+
+    scored = partial_scores(w.filter("essential"))
+    kept = (scored.join(floors(scored), "qid", "left")
+            .filter(F.col("s") + F.col("rest_ub") >= F.coalesce("floor", lowest)))
+    kept = written(kept.select("qid", "id", "s"))
     others = w.filter(~F.col("essential")).select("qid", "term", "qf", "idf")
-    avg_len = index.corpus.select("avg_len").scalar()
-    part = F.col("qf") * F.col("idf") * _saturation(F.col("tf"), F.col("dl"), avg_len, k1, b)
-    rest = (scored.select("qid", "id").join(others, "qid").join(index.postings, ["term", "id"])
-            .withColumn("part", part).select("qid", "id", "part"))
-    total = (scored.select("qid", "id", F.col("s").alias("part")).unionByName(rest)
-             .groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("score")))
-    if positive:
-        total = total.filter(F.col("score") > 0)
-    return top_n(total, ["qid"], [F.desc("score"), "id"], n)
+    rest = (kept.select("qid", "id").join(others, "qid").join(index.postings, ["term", "id"])
+            .select("qid", "id", _part(index, k1, b).alias("part")))
+    return _scored(kept.select("qid", "id", F.col("s").alias("part")).unionByName(rest))
 
 
 def bm25_stats(index: SparseIndex) -> DataFrame:
-    vocabulary = index.term_stats.agg(F.count("*").alias("vocabulary"),
-                                      F.sum("df").alias("postings"))
-    return index.corpus.select(
-        "n_docs", F.round("avg_len", 6).alias("avg_len"), F.round("mean_idf", 6).alias("mean_idf"),
-        vocabulary.select("vocabulary").scalar().alias("vocabulary"),
-        vocabulary.select("postings").scalar().alias("postings"))
+    return index.term_stats.agg(
+        F.lit(index.n_docs).cast("bigint").alias("n_docs"),
+        F.round(F.lit(index.avg_len), 6).alias("avg_len"),
+        F.round(F.lit(index.mean_idf), 6).alias("mean_idf"),
+        F.count("*").alias("vocabulary"), F.sum("df").alias("postings"))

@@ -96,4 +96,4 @@ JSON_OBJECT = r"(?s)\{.*\}"
 CITATION = r"\[资料(\p{Nd}+)\]"
 SPEECH_MARKS = r"[#*`>]"
 SPEECH_TAGS = r"\[(?:依据|资料)\p{Nd}+\]"
-TOKEN = r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"
+TOKEN = r"[\p{L}\p{N}&&[^\p{IsHan}]]+|\p{IsHan}"

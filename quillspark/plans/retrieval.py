@@ -10,6 +10,7 @@ from ..operators import graph as G
 from ..operators import history as H
 from ..operators import hybrid as HY
 from ..operators import sparse as S
+from ..session import spread
 from . import derived as D
 from .catalog import query
 from .joins import graph_tables, query_tokens
@@ -35,9 +36,10 @@ D.add_ctes(
         SELECT qid, u.x AS term, count(*) AS qf FROM queries_txt,
                UNNEST(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS u(x) GROUP BY qid, u.x"""),
     bm25=(("post", "dlen", "cstat", "idf", "qterms"), """
-        SELECT q.qid, p.id, round(sum(q.qf * i.idf * (p.tf * 2.5::DOUBLE
-                 / (p.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * d.dl / c.avg_len)))), 6)
-                 AS score
+        SELECT q.qid, p.id, floor((sum(floor(q.qf * i.idf * (p.tf * 2.5::DOUBLE
+                 / (p.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * d.dl / c.avg_len)))
+                 * 1e9::DOUBLE + 0.5::DOUBLE)::BIGINT) + 500)::DOUBLE / 1000.0::DOUBLE)
+                 / 1e6::DOUBLE AS score
         FROM qterms q JOIN post p ON q.term = p.term JOIN idf i ON i.term = q.term
         JOIN dlen d ON d.id = p.id, cstat c GROUP BY q.qid, p.id"""),
     bm25_20=(("bm25",), """
@@ -75,7 +77,7 @@ D.add_ctes(
 
 
 def corpus(t):
-    return t.documents.select(F.col("doc_id").alias("id"), "text")
+    return spread(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
 
 
 @query("postings", "SELECT term, id, tf FROM post", ("post",))

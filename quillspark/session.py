@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a table that is read in fewer splits than there are cores.
+
+    Such a table is small for the cluster at hand (cores x split size); a larger
+    one already has a split per core and is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows written once to a table in the shared folder and read back.
+
+    For results that several branches of one job use: they are computed once,
+    survive the loss of executors and give the planner real sizes.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors."""
     checkpoint_dir(df.sparkSession)
