@@ -8,7 +8,7 @@ import tempfile
 import time
 
 from quillspark.plans import catalog
-from quillspark.session import build_session
+from quillspark.session import build_session, drop_written
 
 HEADLINE = """
     top_users tokens_7d cache_hit_rate quiz_user_stats history_last8 history_sessions
@@ -37,6 +37,7 @@ def main() -> None:
         took[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({"metric": "headline_total", "value": round(sum(took.values()), 3),
                       "unit": "sec", "queries": took, "sf": os.path.basename(root)}))
+    drop_written(spark)
     spark.stop()
 
 

@@ -6,16 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import params as P
-from .text import strip
-
-
-def without_fences(c: Column) -> Column:
-    return strip(F.regexp_replace(c, P.CODE_FENCE, ""))
 
 
 def embedded_array(c: Column) -> Column:
-    """Text from the first ``[`` to the last ``]``; '' if there is none."""
-    return F.regexp_extract(without_fences(c), P.JSON_ARRAY, 0)
+    """Text from the first ``[`` to the last ``]`` without code fences; '' if there is none."""
+    return F.regexp_extract(F.regexp_replace(c, P.CODE_FENCE, ""), P.JSON_ARRAY, 0)
 
 
 def embedded_object(c: Column) -> Column:

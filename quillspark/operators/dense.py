@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -30,6 +31,12 @@ def _matrix(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_numpy()).astype(np.float64) if len(series) else np.empty((0, 0))
 
 
+def _arrow_matrix(column: pa.Array) -> np.ndarray:
+    """A list column as a matrix, straight from its Arrow buffer."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
 def _scores(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     """Rounded score matrix, smaller is better."""
     prod = q @ b.T
@@ -85,7 +92,8 @@ def _out_schema(queries: DataFrame, base: DataFrame) -> StructType:
 def _nearest(queries: DataFrame, base: DataFrame, k: int, metric: str, limit: float | None,
              broadcast_bytes: int, block_rows: int) -> DataFrame:
     """(qid, v) x (id, v) -> partial best rows (qid, id, score), smaller is better."""
-    queries, base = queries.select("qid", "v"), base.select("id", "v")
+    queries = queries.select("qid", "v").filter(F.col("v").isNotNull())
+    base = base.select("id", "v").filter(F.col("v").isNotNull())
     schema = _out_schema(queries, base)
     measured = queries.agg(F.count("*").alias("n"),
                            F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dim")).first()
@@ -94,26 +102,32 @@ def _nearest(queries: DataFrame, base: DataFrame, k: int, metric: str, limit: fl
         qids = rows["qid"].to_numpy()
         shared = queries.sparkSession.sparkContext.broadcast(_matrix(rows["v"]))
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            pairs = ((p["id"].to_numpy(), _matrix(p["v"])) for p in batches)
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pairs = ((b.column("id").to_numpy(zero_copy_only=False), _arrow_matrix(b.column("v")))
+                     for b in batches if b.num_rows)
             best = _fold(shared.value, pairs, k, metric, limit)
             if best is not None:
-                yield pd.DataFrame({"qid": qids[best[0]], "id": best[1], "score": best[2]})
+                yield pa.RecordBatch.from_pydict({
+                    "qid": pa.array(qids[best[0]]), "id": pa.array(best[1]),
+                    "score": pa.array(best[2])})
 
-        return base.mapInPandas(scan, schema)
+        return base.mapInArrow(scan, schema)
 
     n_base = base.count()
     q_blocks = -(-measured["n"] // block_rows)
     b_blocks = max(1, -(-n_base // block_rows))
-    q = (queries.withColumn("gq", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)))
+    # fresh names: both sides may come from the same table
+    q = (queries.select(F.col("qid").alias("qid"), F.col("v").alias("qv"))
+         .withColumn("gq", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)))
          .withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(b_blocks - 1)))))
-    b = (base.withColumn("gb", F.pmod(F.xxhash64("id"), F.lit(b_blocks)))
+    b = (base.select(F.col("id").alias("id"), F.col("v").alias("bv"))
+         .withColumn("gb", F.pmod(F.xxhash64("id"), F.lit(b_blocks)))
          .withColumn("gq", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"qid": [], "id": [], "score": []})
-        best = _fold(_matrix(left["v"]), [(right["id"].to_numpy(), _matrix(right["v"]))],
+        best = _fold(_matrix(left["qv"]), [(right["id"].to_numpy(), _matrix(right["bv"]))],
                      k, metric, limit)
         return pd.DataFrame({"qid": left["qid"].to_numpy()[best[0]], "id": best[1],
                              "score": best[2]})
@@ -181,8 +195,8 @@ def knn_cells(queries: DataFrame, base: DataFrame, centres: np.ndarray, k: int =
     """
     sizes = base.groupBy("cell").agg(F.count("*").alias("rows"))  # one row per cell
     blocks = sizes.select("cell", F.ceil(F.col("rows") / block_rows).cast("int").alias("nb"))
-    probes = queries.select("qid", "v", F.explode(_cells_of(centres, probe)(F.col("v")))
-                            .alias("cell"))
+    probes = queries.select(F.col("qid").alias("qid"), F.col("v").alias("qv"),
+                            F.explode(_cells_of(centres, probe)(F.col("v"))).alias("cell"))
     asked = probes.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("nq"))
     grid = blocks.join(asked, "cell")  # at most one row per centre, so broadcast below
 
@@ -190,7 +204,8 @@ def knn_cells(queries: DataFrame, base: DataFrame, centres: np.ndarray, k: int =
         return F.broadcast(grid.select("cell", F.col("nb").alias(f"{prefix}_nb"),
                                        F.col("nq").alias(f"{prefix}_nq")))
 
-    b = (base.select("cell", "id", "v").join(sides("b"), "cell")
+    stored = base.select(F.col("cell").alias("cell"), F.col("id").alias("id"), F.col("v").alias("bv"))
+    b = (stored.join(sides("b"), "cell")
          .withColumn("gb", F.pmod(F.xxhash64("id"), F.col("b_nb")))
          .withColumn("gq", F.explode(F.sequence(F.lit(0), F.col("b_nq") - 1))))
     q = (probes.join(sides("q"), "cell")
@@ -200,7 +215,7 @@ def knn_cells(queries: DataFrame, base: DataFrame, centres: np.ndarray, k: int =
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"qid": [], "id": [], "score": []})
-        best = _fold(_matrix(left["v"]), [(right["id"].to_numpy(), _matrix(right["v"]))],
+        best = _fold(_matrix(left["qv"]), [(right["id"].to_numpy(), _matrix(right["bv"]))],
                      k, "l2", None)
         return pd.DataFrame({"qid": left["qid"].to_numpy()[best[0]], "id": best[1],
                              "score": best[2]})

@@ -74,9 +74,9 @@ def _substrings(name: Column, lengths: Column) -> Column:
     return F.array_distinct(F.flatten(per_length))
 
 
-def mentions(tokens: DataFrame, links: DataFrame) -> DataFrame:
-    """(qid, token) x links -> distinct (qid, source, value, target) whose source or
-    target contains one of the query's tokens.
+def matched_names(tokens: DataFrame, links: DataFrame) -> DataFrame:
+    """(qid, token) against the names in ``links`` -> distinct (qid, name) where the
+    name contains one of the query's tokens.
 
     Containment is turned into an equality: a name is expanded into its
     substrings of the token lengths that occur (names are short), and those are
@@ -88,17 +88,28 @@ def mentions(tokens: DataFrame, links: DataFrame) -> DataFrame:
              .withColumn("ls", lengths))
     hits = (names.select("name", F.explode(_substrings(F.col("name"), F.col("ls"))).alias("token"))
             .join(toks, "token", "left_semi"))
-    by_query = (tokens.join(hits, "token").select("qid", "name").distinct())
-    by_source = by_query.join(links, by_query["name"] == links["source"])
-    by_target = by_query.join(links, by_query["name"] == links["target"])
-    cols = ["qid", "source", "value", "target"]
-    return by_source.select(*cols).unionByName(by_target.select(*cols)).distinct()
+    return tokens.join(hits, "token").select("qid", "name").distinct()
 
 
-def context_lines(queries: DataFrame, matched: DataFrame) -> DataFrame:
+def mentions(names: DataFrame, links: DataFrame) -> DataFrame:
+    """Distinct (qid, source, value, target) with a matched source or target.
+
+    ``names`` is (qid, name). Edges found by their target are kept only if their
+    source did not match, so the union has no repeats and needs no shuffle of
+    the (large) result to remove them.
+    """
+    source = names.select("qid", F.col("name").alias("source"))
+    target = names.select("qid", F.col("name").alias("target"))
+    by_source = links.join(source, "source").select("qid", "source", "value", "target")
+    by_target = (links.join(target, "target").join(source, ["qid", "source"], "left_anti")
+                 .select("qid", "source", "value", "target"))
+    return by_source.unionByName(by_target)
+
+
+def context_lines(queries: DataFrame, names: DataFrame, links: DataFrame) -> DataFrame:
     """(qid, line): matched edges as text, or one placeholder line for a query without any."""
-    lines = matched.select("qid", X.triple_line(F.col("source"), F.col("value"), F.col("target"))
-                           .alias("line"))
-    none = (queries.select("qid").join(lines.select("qid").distinct(), "qid", "left_anti")
+    lines = mentions(names, links).select("qid", X.triple_line(
+        F.col("source"), F.col("value"), F.col("target")).alias("line"))
+    none = (queries.select("qid").join(names.select("qid").distinct(), "qid", "left_anti")
             .select("qid", F.lit(P.NO_GRAPH_CONTEXT).alias("line")))
     return lines.unionByName(none)

@@ -35,7 +35,7 @@ def shuffle_options(options: Column, answer: Column, seed: str | int) -> Column:
     hit = F.array_max(F.transform(shuffled, lambda x, i: F.when(x == right, i + 1)))
     return F.struct(
         F.transform(shuffled, lambda x, i: F.concat(_letter(i + 1), F.lit(". "), x)).alias("options"),
-        F.coalesce(_letter(hit), F.lit("A")).alias("correct_answer"),
+        F.when(hit.isNull(), "A").otherwise(_letter(hit)).alias("correct_answer"),
         hit.isNotNull().alias("matched"))
 
 

@@ -20,6 +20,9 @@ from .ranking import top_n
 # Posting rows that a query set may read before pruning pays off.
 DIRECT_ROWS = 20_000_000
 UNIT = 1e9
+# Tokens never hold this character; a run is one token repeated.
+SEP = "\u0001"
+RUN = f"([^{SEP}]+)(?:{SEP}\\1)*(?={SEP}|$)"
 
 
 @dataclass
@@ -34,19 +37,16 @@ class SparseIndex:
 def build_postings(docs: DataFrame, tokenizer=None) -> DataFrame:
     """(id, text) -> (term, id, tf, dl).
 
-    A document's tokens are sorted and run-length counted inside its row, so
-    building the postings moves nothing between tasks.
+    A document's tokens are sorted, joined and matched as runs of one repeated
+    token, all inside its row: building the postings moves nothing between
+    tasks, and the counts follow from the lengths of the runs.
     """
     toks = docs.select("id", F.sort_array(tokenize(F.col("text"), tokenizer)).alias("ts"))
-    size = F.size("ts")
-    starts = F.filter(F.sequence(F.lit(0), size - 1),
-                      lambda i: (i == 0) | (F.get("ts", i) != F.get("ts", i - 1)))
-    runs = F.transform("starts", lambda p, i: F.struct(
-        F.get("ts", p).alias("term"),
-        (F.coalesce(F.get("starts", i + 1), F.col("dl")) - p).cast("bigint").alias("tf")))
-    return (toks.filter(size > 0).select("id", "ts", size.alias("dl"), starts.alias("starts"))
-            .select("id", "dl", F.explode(runs).alias("p"))
-            .select("p.term", "id", "p.tf", "dl"))
+    runs = F.regexp_extract_all(F.array_join("ts", SEP), F.lit(RUN), F.lit(0))
+    term = F.substring_index("run", SEP, 1)
+    tf = ((F.length("run") + 1) / (F.length(term) + 1)).cast("bigint")
+    return (toks.select("id", F.size("ts").alias("dl"), F.explode(runs).alias("run"))
+            .select(term.alias("term"), "id", tf.alias("tf"), "dl"))
 
 
 def raw_idf(n: Column, df: Column) -> Column:

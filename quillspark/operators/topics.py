@@ -8,6 +8,7 @@ from pyspark.storagelevel import StorageLevel
 
 from .. import params as P
 from ..functions import jsonx as J
+from ..session import written
 from ..sources.schemas import TOPIC_JSON
 from .ranking import top_n
 
@@ -39,6 +40,8 @@ def cluster(vectors: DataFrame, k: int = P.MAX_CLUSTERS, n_init: int = P.TOPIC_N
         if best is None or cost < best[1]:
             best = (model, cost)
     out = best[0].transform(feats).withColumnRenamed("prediction", "cluster").drop("features")
+    out = written(out)
+    feats.unpersist()
     return out, best[1]
 
 

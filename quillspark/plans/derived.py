@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..operators.chunking import fixed_blocks, fixed_chunks
+from ..session import spread
 
 EPOCH = "2024-01-01 00:00:00"
 
@@ -135,8 +135,9 @@ def raw_triples(t) -> DataFrame:
     ident = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     relation = (F.when(F.col("l_returnflag") == "A", "according_to")
                 .when(F.col("l_returnflag") == "R", "results_in").otherwise("applies_to"))
-    joined = (t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                                "l_returnflag")
+    items = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                              "l_returnflag")
+    joined = (spread(items, "l_orderkey")
               .join(t.part.select("p_partkey", "p_name", "p_type"),
                     F.col("l_partkey") == F.col("p_partkey"))
               .join(t.supplier.select("s_suppkey", "s_name"),

@@ -9,6 +9,7 @@ from ..operators import dashboard as B
 from ..operators import graph as G
 from ..operators import joins as JN
 from ..operators import quiz as Q
+from ..session import written
 from . import derived as D
 from .catalog import query
 
@@ -66,13 +67,18 @@ def graph_tables(t):
     return G.nodes(tr), G.edges(tr)
 
 
+def stored_links(t):
+    """The graph as stored tables: the responses are parsed once for all that reads it."""
+    tr = written(G.valid_triples(D.raw_triples(t)))
+    return written(G.links(G.edges(tr), G.nodes(tr)))
+
+
 @query("graph_links", """
     SELECT a.name AS source, e.relation AS value, b.name AS target
     FROM edges e JOIN nodes a ON e.source_id = a.node_id JOIN nodes b ON e.target_id = b.node_id
     """, ("nodes", "edges"))
 def graph_links(t):
-    nodes, edges = graph_tables(t)
-    return G.links(edges, nodes)
+    return stored_links(t)
 
 
 @query("edge_insert_if_absent", """
@@ -100,9 +106,11 @@ def edge_insert_if_absent(t):
     WHERE qid NOT IN (SELECT qid FROM lines)""".replace("tok AS", "WITH tok AS", 1),
        ("queries_txt", "nodes", "edges"))
 def graph_context(t):
-    nodes, edges = graph_tables(t)
-    q = D.queries_txt(t)
-    return G.context_lines(q, G.mentions(query_tokens(q), G.links(edges, nodes)))
+    return graph_lines(D.queries_txt(t), stored_links(t))
+
+
+def graph_lines(q, links):
+    return G.context_lines(q, written(G.matched_names(query_tokens(q), links)), links)
 
 
 def query_tokens(q):

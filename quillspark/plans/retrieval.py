@@ -6,14 +6,13 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..operators import dense as DN
-from ..operators import graph as G
 from ..operators import history as H
 from ..operators import hybrid as HY
 from ..operators import sparse as S
-from ..session import spread
+from ..session import spread, written
 from . import derived as D
 from .catalog import query
-from .joins import graph_tables, query_tokens
+from .joins import graph_lines, stored_links
 
 # Oracle building blocks
 D.add_ctes(
@@ -191,7 +190,7 @@ def rerank_positional(t):
 
 def final_docs(t):
     c = candidates(t)
-    return HY.apply_rerank(D.queries_both(t), c, rerank_scores(t, c))
+    return written(HY.apply_rerank(D.queries_both(t), c, written(rerank_scores(t, c))))
 
 
 @query("rerank_or_fallback", """
@@ -231,8 +230,7 @@ def rerank_or_fallback(t):
     """, ("final", "nodes", "edges", "msgs", "queries_both"))
 def context_block(t):
     q = D.queries_both(t).select("qid", "text")
-    nodes, edges = graph_tables(t)
-    graph = G.context_lines(q, G.mentions(query_tokens(q), G.links(edges, nodes)))
+    graph = graph_lines(q, stored_links(t))
     history = H.transcripts(D.msgs(t)).select(
         F.expr("substring(session_id, 2)").cast("bigint").alias("qid"), "history")
     return HY.evidence(q, final_docs(t), corpus(t), graph, history)

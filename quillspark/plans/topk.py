@@ -16,18 +16,25 @@ from .joins import UNSEEN, quiz_users
 
 
 @query("sessions_recent", """
-    SELECT s.user_id, s.session_id, strftime(max(m.created_at), '%Y-%m-%d %H:%M:%S') AS updated_at,
-           row_number() OVER (PARTITION BY s.user_id
-                              ORDER BY max(m.created_at) DESC, s.session_id) AS pos
+    SELECT s.user_id, s.session_id, strftime(max(m.created_at), '%Y-%m-%d %H:%M:%S') AS updated_at
     FROM sessions s JOIN msgs m ON m.session_id = s.session_id GROUP BY s.user_id, s.session_id
-    """, ("sessions", "msgs"))
+    ORDER BY s.user_id, updated_at DESC, s.session_id""", ("sessions", "msgs"))
 def sessions_recent(t):
-    """Every user's sessions, the latest first."""
+    """Every user's sessions, the latest first. One range-partitioned sort: a user
+    with very many sessions spans several tasks."""
     last = D.msgs(t).groupBy("session_id").agg(F.max("created_at").alias("updated_at"))
-    w = R.W.partitionBy("user_id").orderBy(F.desc("updated_at"), "session_id")
     return (D.sessions(t).join(last, "session_id")
-            .withColumn("pos", F.row_number().over(w).cast("bigint"))
-            .withColumn("updated_at", stamp("updated_at")))
+            .select("user_id", "session_id", stamp("updated_at").alias("updated_at"))
+            .orderBy("user_id", F.desc("updated_at"), "session_id"))
+
+
+@query("history_ordered", """
+    SELECT session_id, message_id, role, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at
+    FROM msgs ORDER BY session_id, created_at, message_id""", ("msgs",))
+def history_ordered(t):
+    """Every session's messages, the oldest first."""
+    return (D.msgs(t).select("session_id", "message_id", "role", stamp("created_at").alias("created_at"))
+            .orderBy("session_id", "created_at", "message_id"))
 
 
 @query("top_topics", """
