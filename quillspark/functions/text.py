@@ -28,7 +28,7 @@ def strict_clean(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim Unicode whitespace on both ends (``trim`` knows only the space)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(P.SPACES))
 
 
 def join_broken_lines(c: Column) -> Column:

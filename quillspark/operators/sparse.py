@@ -1,6 +1,6 @@
 """Sparse retrieval: inverted index tables and BM25.
 
-The index is ``postings(term, id, tf, dl)`` and ``term_stats(term, df, raw)``
+The index is ``postings(term, id, tf, dl)`` and ``term_stats(term, df, cf)``
 plus three numbers about the corpus. A saved index is bucketed by term.
 """
 
@@ -54,12 +54,12 @@ def raw_idf(n: Column, df: Column) -> Column:
 
 
 def summarise(postings: DataFrame, n_docs: int) -> SparseIndex:
-    """Statistics of written postings; only three numbers reach the driver."""
-    tokens = postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
-    stats = written(postings.groupBy("term").agg(F.count("*").alias("df"))
-                    .withColumn("raw", raw_idf(F.lit(n_docs), F.col("df"))))
-    mean = stats.agg(F.coalesce(F.avg("raw"), F.lit(0.0))).first()[0]
-    return SparseIndex(postings, stats, n_docs, tokens / max(n_docs, 1), mean)
+    """Statistics of written postings; only two numbers reach the driver."""
+    stats = written(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))
+    sums = stats.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("tokens"),
+                     F.coalesce(F.avg(raw_idf(F.lit(n_docs), F.col("df"))), F.lit(0.0))
+                     .alias("mean")).first()
+    return SparseIndex(postings, stats, n_docs, sums["tokens"] / max(n_docs, 1), sums["mean"])
 
 
 def build_index(docs: DataFrame, tokenizer=None) -> SparseIndex:
@@ -99,7 +99,8 @@ def query_terms(queries: DataFrame, tokenizer=None) -> DataFrame:
 def _weights(index: SparseIndex, terms: DataFrame, epsilon: float) -> DataFrame:
     """Query terms with df and idf. A negative idf is replaced by ``epsilon`` times
     the mean idf of the whole vocabulary, negative ones included."""
-    idf = F.when(F.col("raw") < 0, F.lit(epsilon * index.mean_idf)).otherwise(F.col("raw"))
+    raw = raw_idf(F.lit(index.n_docs), F.col("df"))
+    idf = F.when(raw < 0, F.lit(epsilon * index.mean_idf)).otherwise(raw)
     return terms.join(index.term_stats, "term").select("qid", "term", "qf", "df", idf.alias("idf"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -19,7 +22,7 @@ def topic_messages(msgs: DataFrame) -> DataFrame:
 
 def cluster(vectors: DataFrame, k: int = P.MAX_CLUSTERS, n_init: int = P.TOPIC_N_INIT,
             seed: int = P.TOPIC_SEED, min_samples: int = P.TOPIC_MIN_SAMPLES,
-            max_iter: int = 20):
+            max_iter: int = 20, parallel_fits: int = 5):
     """(..., v) -> (clustered rows, cost), the cheapest of ``n_init`` seeded fits.
 
     Returns None when there are too few rows to cluster.
@@ -33,16 +36,19 @@ def cluster(vectors: DataFrame, k: int = P.MAX_CLUSTERS, n_init: int = P.TOPIC_N
     if n < min_samples:
         feats.unpersist()
         return None
-    best = None
-    for i in range(n_init):
+
+    def fit(i: int):
         model = KMeans(k=min(k, n), seed=seed + i, maxIter=max_iter).fit(feats)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    out = best[0].transform(feats).withColumnRenamed("prediction", "cluster").drop("features")
+        return model.summary.trainingCost, i, model
+
+    # the fits are independent chains of small jobs: run them side by side
+    with ThreadPool(parallel_fits) as pool:
+        cost, _, model = min(pool.map(inheritable_thread_target(feats.sparkSession)(fit),
+                                      range(n_init)), key=lambda r: r[:2])
+    out = model.transform(feats).withColumnRenamed("prediction", "cluster").drop("features")
     out = written(out)
     feats.unpersist()
-    return out, best[1]
+    return out, cost
 
 
 def representatives(clustered: DataFrame, order: list, n: int = P.TOPIC_REPRESENTATIVES,

@@ -81,6 +81,12 @@ DEFAULT_PREFS = {
     "vision_key": "",
 }
 
+# Every character that counts as white space at the ends of a text
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Patterns (Java regex syntax)
 CONTROL_CHARS = r"[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f]"
 UNICODE_SPACE = r"(?U)\s+"

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
 from ..sources.schemas import INPUTS
 
 
@@ -17,6 +18,11 @@ class Tables:
         self.spark = spark
         self.root = root.rstrip("/")
 
+    @property
+    def texts(self) -> DataFrame:
+        """``documents`` for work that is heavy per text: at least a split per core."""
+        return spread(self.documents, "doc_id")
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in INPUTS:
             raise AttributeError(name)

@@ -76,11 +76,11 @@ def docs(t) -> DataFrame:
 
 
 def chunks(t) -> DataFrame:
-    return fixed_chunks(t.documents.select("doc_id", "text"))
+    return fixed_chunks(t.texts.select("doc_id", "text"))
 
 
 def pages_of(t) -> DataFrame:
-    d = t.documents.select("doc_id", F.posexplode(fixed_blocks(F.col("text"), 500))
+    d = t.texts.select("doc_id", F.posexplode(fixed_blocks(F.col("text"), 500))
                            .alias("page_no", "text"))
     return d
 
@@ -93,7 +93,7 @@ def md_text(t) -> DataFrame:
         .when(i % 7 == 3, F.concat(F.lit("## "), x))
         .when(i % 7 == 5, F.concat(F.lit("### "), x))
         .otherwise(x))
-    return t.documents.select("doc_id", F.array_join(line, "\n").alias("text"))
+    return t.texts.select("doc_id", F.array_join(line, "\n").alias("text"))
 
 
 def md_lines(t) -> DataFrame:

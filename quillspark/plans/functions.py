@@ -43,7 +43,7 @@ def cat(*parts):
     "|| chr(8195)") + " AS text FROM documents")
 def strict_clean(t):
     dirty = cat(" 60 km / h　 \t\u0007", "$doc_id", " kg / m ", "$text", " ")
-    return t.documents.select("doc_id", X.strict_clean(dirty).alias("text"))
+    return t.texts.select("doc_id", X.strict_clean(dirty).alias("text"))
 
 
 @query("join_broken_lines", r"""
@@ -53,7 +53,7 @@ def strict_clean(t):
     FROM documents""")
 def join_broken_lines(t):
     raw = cat("句子没有\n结束。\n下一句\n# 标题\n", "$text")
-    return t.documents.select("doc_id", X.join_broken_lines(raw).alias("text"))
+    return t.texts.select("doc_id", X.join_broken_lines(raw).alias("text"))
 
 
 @query("clause_extract", r"""
@@ -198,7 +198,7 @@ TOKENS = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}]+')"
 @query("tokenize", "SELECT doc_id, len(ts)::BIGINT AS n, array_to_string(ts, ' ') AS tokens "
        "FROM (SELECT doc_id, " + TOKENS.format("text") + " AS ts FROM documents)")
 def tokenize(t):
-    d = t.documents.select("doc_id", X.tokenize(F.col("text")).alias("ts"))
+    d = t.texts.select("doc_id", X.tokenize(F.col("text")).alias("ts"))
     return d.select("doc_id", F.size("ts").cast("bigint").alias("n"),
                     F.array_join("ts", " ").alias("tokens"))
 

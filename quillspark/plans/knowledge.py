@@ -68,7 +68,7 @@ def chunk_fixed(t):
 
 @query("chunk_recursive")
 def chunk_recursive(t):
-    return K.recursive_chunks(t.documents.select("doc_id", "text"))
+    return K.recursive_chunks(t.texts.select("doc_id", "text"))
 
 
 @query("chunk_build", r"""

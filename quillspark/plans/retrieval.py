@@ -9,7 +9,7 @@ from ..operators import dense as DN
 from ..operators import history as H
 from ..operators import hybrid as HY
 from ..operators import sparse as S
-from ..session import spread, written
+from ..session import written
 from . import derived as D
 from .catalog import query
 from .joins import graph_lines, stored_links
@@ -76,7 +76,7 @@ D.add_ctes(
 
 
 def corpus(t):
-    return spread(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
+    return t.texts.select(F.col("doc_id").alias("id"), "text")
 
 
 @query("postings", "SELECT term, id, tf FROM post", ("post",))
