@@ -116,7 +116,7 @@ def doc_vectors(t) -> DataFrame:
     """Every document with a vector; vectors repeat when there are more documents."""
     n = t.embeddings.select(F.count("*").alias("n")).scalar()
     e = t.embeddings.select("vec_id", F.col("embedding").alias("v"))
-    d = t.documents.select(F.col("doc_id").alias("id"), "text",
+    d = t.texts.select(F.col("doc_id").alias("id"), "text",
                            (F.col("doc_id") % n).alias("vec_id"))
     return d.join(e, "vec_id").select("id", "text", "v")
 
