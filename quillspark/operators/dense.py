@@ -4,7 +4,8 @@ Distances are computed by NumPy on Arrow batches. Every task keeps only the best
 rows per query, so pairs are never materialised:
 
 * a query table below ``broadcast_bytes`` (measured) is broadcast and the
-  vectors stay where they are;
+  vectors stay where they are, read by few long tasks so that few partial
+  results per query are left to merge;
 * a bigger one is laid out with the vectors on a grid of equal hash blocks, and
   each grid cell is one bounded group, whatever the keys look like.
 """
@@ -25,6 +26,7 @@ from .ranking import top_n
 
 BROADCAST_BYTES = 32 << 20
 BLOCK_ROWS = 16384
+BASE_BLOCK_BYTES = 64 << 20
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
@@ -90,7 +92,7 @@ def _out_schema(queries: DataFrame, base: DataFrame) -> StructType:
 
 
 def _nearest(queries: DataFrame, base: DataFrame, k: int, metric: str, limit: float | None,
-             broadcast_bytes: int, block_rows: int) -> DataFrame:
+             broadcast_bytes: int, block_rows: int, base_block_bytes: int) -> DataFrame:
     """(qid, v) x (id, v) -> partial best rows (qid, id, score), smaller is better."""
     queries = queries.select("qid", "v").filter(F.col("v").isNotNull())
     base = base.select("id", "v").filter(F.col("v").isNotNull())
@@ -111,11 +113,12 @@ def _nearest(queries: DataFrame, base: DataFrame, k: int, metric: str, limit: fl
                     "qid": pa.array(qids[best[0]]), "id": pa.array(best[1]),
                     "score": pa.array(best[2])})
 
-        return base.mapInArrow(scan, schema)
+        tasks = 2 * base.sparkSession.sparkContext.defaultParallelism
+        return base.coalesce(tasks).mapInArrow(scan, schema)
 
     n_base = base.count()
     q_blocks = -(-measured["n"] // block_rows)
-    b_blocks = max(1, -(-n_base // block_rows))
+    b_blocks = max(1, -(-n_base * measured["dim"] * 8 // base_block_bytes))
     # fresh names: both sides may come from the same table
     q = (queries.select(F.col("qid").alias("qid"), F.col("v").alias("qv"))
          .withColumn("gq", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)))
@@ -137,17 +140,20 @@ def _nearest(queries: DataFrame, base: DataFrame, k: int, metric: str, limit: fl
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int = P.DENSE_K,
-        broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+        broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
+        base_block_bytes: int = BASE_BLOCK_BYTES) -> DataFrame:
     """Exact ``k`` nearest by squared L2: (qid, id, dist, rank), ties by id."""
-    part = _nearest(queries, base, k, "l2", None, broadcast_bytes, block_rows)
+    part = _nearest(queries, base, k, "l2", None, broadcast_bytes, block_rows, base_block_bytes)
     return top_n(part.withColumnRenamed("score", "dist"), ["qid"], ["dist", "id"], k)
 
 
 def best_match(queries: DataFrame, base: DataFrame, threshold: float,
-               broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+               broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
+               base_block_bytes: int = BASE_BLOCK_BYTES) -> DataFrame:
     """Most similar row per query with cosine strictly above ``threshold``, ties by id."""
     limit = -threshold - 1e-9
-    part = _nearest(queries, base, 1, "cosine", limit, broadcast_bytes, block_rows)
+    part = _nearest(queries, base, 1, "cosine", limit, broadcast_bytes, block_rows,
+                    base_block_bytes)
     best = part.groupBy("qid").agg(F.min(F.struct("score", "id")).alias("m"))
     return best.select("qid", F.col("m.id").alias("id"), (-F.col("m.score")).alias("similarity"))
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import spread
+from ..session import spread, tune
 from ..sources.schemas import INPUTS
 
 
@@ -59,7 +59,7 @@ def _load() -> None:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load()
-    return {name: (lambda spark, root, e=e: e.build(Tables(spark, root)))
+    return {name: (lambda spark, root, e=e: e.build(Tables(tune(spark), root)))
             for name, e in _ENTRIES.items()}
 
 

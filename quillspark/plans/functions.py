@@ -273,11 +273,11 @@ def topic_label_parse(t):
 @query("triples_explode", r"""
     SELECT message_id, CAST(u.i - 1 AS INTEGER) AS pos, u.x->>'$.s' AS s, u.x->>'$.t' AS t
     FROM (SELECT message_id, CAST(to_json(list_transform(
-            string_split(content, ' ')[1:5], lambda w: {'s': w, 'cat_s': role, 'r': 'applies_to',
+            string_split(content, ' '), lambda w: {'s': w, 'cat_s': role, 'r': 'applies_to',
                                                        't': session_id, 'cat_t': 'LIMIT'}))
             AS JSON[]) AS js FROM msgs) m, UNNEST(js) WITH ORDINALITY AS u(x, i)""", ("msgs",))
 def triples_explode(t):
-    objs = F.transform(F.slice(F.split("content", " "), 1, 5), lambda w: F.struct(
+    objs = F.transform(F.split("content", " "), lambda w: F.struct(
         w.alias("s"), F.col("role").alias("cat_s"), F.lit("applies_to").alias("r"),
         F.col("session_id").alias("t"), F.lit("LIMIT").alias("cat_t")))
     j = D.msgs(t).select("message_id", F.to_json(objs).alias("j"))

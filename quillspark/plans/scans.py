@@ -68,14 +68,20 @@ def ingest_status(t):
                               .otherwise("done"))
 
 
-@query("vector_append")
+@query("vector_append", """
+    SELECT vec_id AS id, label, len(embedding)::INTEGER AS dim,
+           CAST(to_json(list_transform(embedding, lambda x: floor(x::DOUBLE * 1000)::BIGINT)) AS VARCHAR) AS v
+    FROM embeddings""")
 def vector_append(t):
     """Two appends to a vector table in the shared folder, read back with the declared schema."""
     path = f"{checkpoint_dir(t.spark)}/vectors-{uuid.uuid4().hex}"
     v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
     io.append_vectors(v.filter(F.col("label") < 5), path)
     io.append_vectors(v.filter(F.col("label") >= 5), path)
-    return t.spark.read.schema("id BIGINT, v ARRAY<FLOAT>, label INT").parquet(path)
+    stored = t.spark.read.schema("id BIGINT, v ARRAY<FLOAT>, label INT").parquet(path)
+    milli = F.transform("v", lambda x: F.floor(x.cast("double") * 1000))
+    return stored.select("id", "label", F.size("v").alias("dim"),
+                         F.to_json(milli).cast("string").alias("v"))
 
 
 @query("append_messages", """

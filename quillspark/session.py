@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot join key even where that costs one more shuffle
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # GBK text is decoded by read_text_fallback
     "spark.sql.legacy.javaCharsets": "true",
@@ -33,6 +35,14 @@ def build_session(app_name: str = "quillspark", master: str | None = None,
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Put the run-time settings above on a session that was built elsewhere."""
+    for key in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
+                "spark.sql.adaptive.forceOptimizeSkewedJoin"):
+        spark.conf.set(key, DEFAULTS[key])
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a local one only if none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

@@ -117,7 +117,7 @@ def test_knn_paths_agree(spark, t, copies):
         e = e.unionByName(hot.select("id", "v"))
     q = e.filter("id < 60").select(F.col("id").alias("qid"), "v")
     a = DN.knn(q, e, 7)
-    b = DN.knn(q, e, 7, broadcast_bytes=0, block_rows=50)
+    b = DN.knn(q, e, 7, broadcast_bytes=0, block_rows=50, base_block_bytes=50 * 64 * 8)
     data = e.orderBy("id").collect()
     m = np.array([r["v"] for r in data], dtype=np.float64)
     ids = [r["id"] for r in data]
@@ -135,7 +135,7 @@ def test_best_match_paths_agree(spark, t, threshold):
     q = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v"))
     base = e.filter("label < 5").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     a = DN.best_match(q, base, threshold)
-    b = DN.best_match(q, base, threshold, broadcast_bytes=0, block_rows=60)
+    b = DN.best_match(q, base, threshold, broadcast_bytes=0, block_rows=60, base_block_bytes=60 * 64 * 8)
     assert rows(a) == rows(b)
     assert a.filter(F.col("similarity") <= threshold).count() == 0
 
