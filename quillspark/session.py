@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +34,7 @@ def build_session(app_name: str = "quillspark", master: str | None = None,
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -40,11 +42,15 @@ def tune(spark: SparkSession) -> SparkSession:
     for key in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
                 "spark.sql.adaptive.forceOptimizeSkewedJoin"):
         spark.conf.set(key, DEFAULTS[key])
-    return spark
+    return ship(spark)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only if none is set."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    A machine-local folder is made only where there is one machine (a local
+    master); elsewhere executors would not see each other's files.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if configured:
@@ -52,11 +58,35 @@ def checkpoint_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
     if current is None:
+        if not _is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="quillspark-checkpoint-")
         spark.sparkContext.setCheckpointDir(current)
     return current
 
 
+def _is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once per application, for functions that run there."""
+    context = spark.sparkContext
+    name = f"quillspark-{context.applicationId}.zip"
+    if not any(os.path.basename(f) == name for f in context._python_includes):
+        top = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="quillspark-package-"), name)
+        with zipfile.ZipFile(path, "w") as out:
+            for folder, _, files in os.walk(top):
+                for f in sorted(files):
+                    if f.endswith(".py"):
+                        full = os.path.join(folder, f)
+                        out.write(full, os.path.relpath(full, os.path.dirname(top)))
+        context.addPyFile(path)
+    return spark
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-spread a table that is read in fewer splits than there are cores.
 
@@ -86,9 +116,3 @@ def drop_written(spark: SparkSession) -> None:
     """Delete all tables that ``written`` made in this application."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
