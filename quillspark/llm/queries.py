@@ -7,15 +7,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, tune
-from . import exact_dedup, packing, shards, simhash, token_files
+from . import codes, exact_dedup, language, packing, shards, simhash, token_files
 from .tables import read
 
 SHARDS = 40
 SEQUENCE = 4096
 
 
+def op2_nearest_codes(spark: SparkSession, root: str) -> DataFrame:
+    return codes.nearest(read(spark, root, "embeddings"), F.col("key") % 20 == 0)
+
+
 def op4_token_files(spark: SparkSession, root: str, tokenizer: str | None = None) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
     token_files.write(read(spark, root, "documents"), path,
@@ -28,6 +33,11 @@ def op5_best_fit_packing(spark: SparkSession, root: str, tokenizer: str | None =
                         tokenizer or public_tokenizers.path("word_bpe_49k.json"), 1, SEQUENCE)
 
 
+def op7_language(spark: SparkSession, root: str, pieces: str | None = None) -> DataFrame:
+    docs = read(spark, root, "documents")
+    return language.predict(docs, language.fit(docs, pieces or public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op8_sharding(spark: SparkSession, root: str) -> DataFrame:
     return shards.place(read(spark, root, "documents"), shards.Tree.even(4, 2, 5), SHARDS)
 
@@ -40,9 +50,16 @@ def op10_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
     return exact_dedup.duplicate_groups(read(spark, root, "documents"))
 
 
-_QUERIES = (op4_token_files, op5_best_fit_packing, op8_sharding, op9_simhash_near_dedup, op10_exact_dedup)
+_QUERIES = (op2_nearest_codes, op4_token_files, op5_best_fit_packing, op7_language, op8_sharding, op9_simhash_near_dedup, op10_exact_dedup)
 
 ORACLE_SQL = {
+    "op2_nearest_codes": """
+        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+                   FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+        SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER w <= 20""",
     "op10_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm
                    FROM documents),
