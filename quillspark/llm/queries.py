@@ -6,21 +6,44 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, tune
-from . import codes, exact_dedup, language, packing, shards, simhash, token_files
+from . import (codes, exact_dedup, language, mixing, ngram_lm, packing, quality, shards, simhash,
+               token_files)
 from .tables import read
 
 SHARDS = 40
 SEQUENCE = 4096
 
 
+def op1_backoff_lm(spark: SparkSession, root: str) -> DataFrame:
+    return ngram_lm.score(read(spark, root, "documents"))
+
+
 def op2_nearest_codes(spark: SparkSession, root: str) -> DataFrame:
     return codes.nearest(read(spark, root, "embeddings"), F.col("key") % 20 == 0)
 
 
+def domains(docs: DataFrame) -> dict[str, Column]:
+    """The tree of a mixture: domains are groups of sources."""
+    domain = F.concat(F.lit("domain"), F.crc32(F.encode(docs["source"].cast("string"), "utf-8")) % 4)
+    return {"domain": domain, "lang": docs["lang"], "source": docs["source"]}
+
+
+#: English counts double among the languages of a domain.
+LANGUAGE_WEIGHTS = {(f"domain{i}", "en"): 2.0 for i in range(4)}
+
+
+def op3_mixture(spark: SparkSession, root: str) -> DataFrame:
+    docs = read(spark, root, "documents")
+    return mixing.select(docs, domains(docs), LANGUAGE_WEIGHTS, 0.6, 2, 20240519, [
+        F.col("doc_id"), F.col("_domain").alias("domain"), F.col("_lang").alias("lang"),
+        F.col("_source").alias("source"), F.col("_epoch").alias("epoch"), F.col("_budget").alias("leaf_budget"),
+        mixing.token_count(docs).alias("tokens")])
+
+
 def op4_token_files(spark: SparkSession, root: str, tokenizer: str | None = None) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
     token_files.write(read(spark, root, "documents"), path,
@@ -33,6 +56,11 @@ def op5_best_fit_packing(spark: SparkSession, root: str, tokenizer: str | None =
                         tokenizer or public_tokenizers.path("word_bpe_49k.json"), 1, SEQUENCE)
 
 
+def op6_quality(spark: SparkSession, root: str) -> DataFrame:
+    docs = read(spark, root, "documents")
+    return quality.score(docs, quality.fit(docs, quality.grades(read(spark, root, "labels"))))
+
+
 def op7_language(spark: SparkSession, root: str, pieces: str | None = None) -> DataFrame:
     docs = read(spark, root, "documents")
     return language.predict(docs, language.fit(docs, pieces or public_tokenizers.path("piece_bpe_32k.model")))
@@ -50,7 +78,8 @@ def op10_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
     return exact_dedup.duplicate_groups(read(spark, root, "documents"))
 
 
-_QUERIES = (op2_nearest_codes, op4_token_files, op5_best_fit_packing, op7_language, op8_sharding, op9_simhash_near_dedup, op10_exact_dedup)
+_QUERIES = (op1_backoff_lm, op2_nearest_codes, op3_mixture, op4_token_files, op5_best_fit_packing, op6_quality,
+            op7_language, op8_sharding, op9_simhash_near_dedup, op10_exact_dedup)
 
 ORACLE_SQL = {
     "op2_nearest_codes": """
