@@ -1,9 +1,9 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings over hashed text.
 
-A document's score is the sum of the weights of its distinct features: its
-lower-cased words and a few properties of its shape (repetition, symbols, word
-lengths) cut into steps, all hashed into one table. The weights are shared by
-all grades; ordered thresholds t_1 < t_2 < ... turn the score into
+A document's score is the weighted sum of its distinct features: its lower-cased
+words, scaled down where there are many, and a few properties of its shape
+(repetition, symbols, word lengths) cut into steps, all hashed into one table.
+The weights are shared by all grades; ordered thresholds t_1 < t_2 < ... turn the score into
 P(grade >= k) = sigmoid(score - t_k), hence the expected grade and the tail
 probability by which documents are selected.
 
@@ -31,28 +31,36 @@ from pyspark.sql import functions as F
 from . import spans
 from .tables import text_of
 
-PER_GRADE = 3000
+PER_GRADE = 5000
 GRADES = 3
 TABLE_BITS = 18
 SLICE_BYTES = 1 << 22
 # features of fewer training documents than this have no weight
-LEAST_DOCS = 5
+LEAST_DOCS = 10
 PENALTY = 2e-4
 RATE = 0.05
 TURNS = 250
-TAIL = 0.5
+TAIL = 0.7
+# a word feature's value among n is WORD_SCALE / sqrt(n + WORD_SCALE^2), so that long texts do not drown in noise
+WORD_SCALE = 4.0
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#$%&*+/<=>@\\^_`|~{}[]"]] = True
 
 
-def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first document, features, documents): the distinct hashed features of slices of a string column."""
+# shape properties, steps of each, and their places in the table
+SHAPES, STEPS = 8, 17
+SHAPE_SLOTS = (spans.mix(np.arange(7919, 7919 + SHAPES * STEPS, dtype=np.uint64))
+               >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first document, features, documents, values): the distinct hashed features of slices of a string column."""
     data, offsets = spans.texts(column)
     for a, b in spans.slices(offsets, SLICE_BYTES):
         yield (a, *_slice(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]))
 
 
-def _slice(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _slice(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     docs = len(offsets) - 1
     data = spans.LOWER[data]
     starts, ends, first = spans.words(data, offsets)
@@ -66,7 +74,9 @@ def _slice(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     bare = np.unique(owner * size + (stripped >> np.uint64(64 - TABLE_BITS)).astype(np.int64))
     shape = _shape(data, starts, ends, owner, hashed, n, pair // size)
     every = np.unique(np.concatenate([pair, bare, shape]))
-    return every % size, every // size
+    value = np.where(np.isin(every % size, SHAPE_SLOTS), 1.0,
+                     WORD_SCALE / np.sqrt(np.bincount(every // size, minlength=docs) + WORD_SCALE ** 2)[every // size])
+    return every % size, every // size, value
 
 
 def _without_marks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -87,23 +97,22 @@ def _shape(data, starts, ends, owner, hashed, n, distinct_owner) -> np.ndarray:
     again = np.zeros(len(starts), bool)
     again[1:] = (hashed[1:] == hashed[:-1]) & (owner[1:] == owner[:-1])
     lengths = ends - starts
-    values = {
-        "words": np.log2(some) / 16,
-        "repeats": share(again),
-        "distinct": np.bincount(distinct_owner, minlength=docs) / some,
-        "symbol_end": share(SYMBOLS[data[ends - 1]]) if len(starts) else np.zeros(docs),
-        "single": share((lengths == 1) & SYMBOLS[data[starts]]) if len(starts) else np.zeros(docs),
-        "digits": share((data[starts] >= 48) & (data[starts] <= 57)) if len(starts) else np.zeros(docs),
-        "long": share(lengths > 20),
-        "mean_length": np.minimum(share(lengths) / 32, 1),
-    }
+    properties = [
+        np.log2(some) / 16,  # words
+        share(again),  # repeats
+        np.bincount(distinct_owner, minlength=docs) / some,  # distinct
+        share(SYMBOLS[data[ends - 1]]) if len(starts) else np.zeros(docs),  # symbol end
+        share((lengths == 1) & SYMBOLS[data[starts]]) if len(starts) else np.zeros(docs),  # single
+        share((data[starts] >= 48) & (data[starts] <= 57)) if len(starts) else np.zeros(docs),  # digits
+        share(lengths > 20),  # long
+        np.minimum(share(lengths) / 32, 1),  # mean length
+    ]
     out = []
-    for i, value in enumerate(values.values()):
+    for i, value in enumerate(properties):
         step = np.minimum((np.sqrt(np.clip(value, 0, 1)) * 16).astype(np.uint64), np.uint64(16))
         # a feature for every step up to the value, so that steps add up
-        for at in range(17):
-            names = spans.mix(np.array([7919 + i * 64 + at], np.uint64)) >> np.uint64(64 - TABLE_BITS)
-            out.append(np.flatnonzero(step >= at) * size + int(names[0]))
+        for at in range(STEPS):
+            out.append(np.flatnonzero(step >= at) * size + SHAPE_SLOTS[i * STEPS + at])
     return np.concatenate(out)
 
 
@@ -117,22 +126,27 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
 
 
-def learn(slots: np.ndarray, owner: np.ndarray, grades: np.ndarray, turns: int = TURNS) -> Model:
-    """Maximum likelihood with an L2 penalty by Adam over the whole sample; grades weigh alike."""
+def learn(slots: np.ndarray, owner: np.ndarray, values: np.ndarray, grades: np.ndarray,
+          population: np.ndarray, turns: int = TURNS) -> Model:
+    """Maximum likelihood with an L2 penalty by Adam over the whole sample.
+
+    Rows weigh so that the grades count as in the ``population``, not as in the sample.
+    """
     docs, size, cuts = len(grades), 1 << TABLE_BITS, GRADES - 1
     common = np.bincount(slots, minlength=size) >= LEAST_DOCS
     keep = common[slots]
-    slots, owner = slots[keep], owner[keep]
+    slots, owner, values = slots[keep], owner[keep], values[keep]
     used, slots = np.unique(slots, return_inverse=True)
     share = np.bincount(grades, minlength=GRADES)
-    weight = (docs / (np.count_nonzero(share) * np.maximum(share, 1)))[grades] / docs
+    weight = (population / np.maximum(share, 1))[grades]
+    weight /= weight.sum()
     w = np.zeros(len(used))
     # thresholds are t_1 and positive steps, so that they stay ordered
     free = np.array([-1.0] + [0.0] * (cuts - 1))
     moments = [np.zeros(len(used) + cuts), np.zeros(len(used) + cuts)]
     for turn in range(1, turns + 1):
         thresholds = free[0] + np.concatenate([[0], np.cumsum(np.exp(free[1:]))])
-        scores = np.bincount(owner, w[slots], docs)
+        scores = np.bincount(owner, w[slots] * values, docs)
         edges = np.concatenate([np.full((docs, 1), np.inf), scores[:, None] - thresholds[None, :],
                                 np.full((docs, 1), -np.inf)], axis=1)
         above = 1 / (1 + np.exp(-np.clip(edges, -60, 60)))
@@ -145,7 +159,7 @@ def learn(slots: np.ndarray, owner: np.ndarray, grades: np.ndarray, turns: int =
         for k in range(cuts):
             by_threshold[k] = (weight * ((grades == k + 1) * slope_high - (grades == k) * slope_low) / chance).sum()
         by_free = np.array([by_threshold[k:].sum() * (1 if k == 0 else np.exp(free[k])) for k in range(cuts)])
-        gradient = np.concatenate([np.bincount(slots, by_score[owner], len(used)) + PENALTY * w, by_free])
+        gradient = np.concatenate([np.bincount(slots, by_score[owner] * values, len(used)) + PENALTY * w, by_free])
         moments[0] = 0.9 * moments[0] + 0.1 * gradient
         moments[1] = 0.999 * moments[1] + 0.001 * gradient ** 2
         step = RATE * (moments[0] / (1 - 0.9 ** turn)) / (np.sqrt(moments[1] / (1 - 0.999 ** turn)) + 1e-9)
@@ -158,12 +172,14 @@ def learn(slots: np.ndarray, owner: np.ndarray, grades: np.ndarray, turns: int =
 
 def _feature_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, slots, owner in features(batch.column(1)):
+        for first, slots, owner, values in features(batch.column(1)):
             docs = int(owner[-1]) + 1
             counts = np.bincount(owner, minlength=docs)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)),
-                                             pa.array(slots.astype(np.int32)))
-            yield pa.record_batch([batch.column(0).slice(first, docs), lists], names=["grade", "slots"])
+            ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            yield pa.record_batch([batch.column(0).slice(first, docs),
+                                   pa.ListArray.from_arrays(ends, pa.array(slots.astype(np.int32))),
+                                   pa.ListArray.from_arrays(ends, pa.array(values.astype(np.float32)))],
+                                  names=["grade", "slots", "values"])
 
 
 def grades(labels: DataFrame) -> DataFrame:
@@ -181,21 +197,25 @@ def fit(docs: DataFrame, graded: DataFrame, per_grade: int = PER_GRADE) -> Model
               .select("doc_id", "grade"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     sample = rows.join(F.broadcast(chosen), "doc_id")  # per_grade rows of each grade
-    found = sample.select("grade", "text").mapInArrow(_feature_rows, "grade int, slots array<int>").toArrow()
+    found = sample.select("grade", "text").mapInArrow(_feature_rows, "grade int, slots array<int>, values array<float>").toArrow()
     rated = found.column("grade").to_numpy().astype(np.int64) if found.num_rows else np.zeros(0, np.int64)
     if len(np.unique(rated)) < 2:
         return None
+    population = np.zeros(GRADES)
+    for row in graded.groupBy("grade").count().collect():  # one row per grade
+        population[row["grade"]] = row["count"]
     lists = found.column("slots").combine_chunks()
     counts = lists.value_lengths().to_numpy(zero_copy_only=False)
-    return learn(lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(rated)), counts), rated)
+    return learn(lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(rated)), counts),
+                 found.column("values").combine_chunks().flatten().to_numpy().astype(float), rated, population)
 
 
 def _score_rows(model: Model, tail: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, slots, owner in features(batch.column(1)):
+            for first, slots, owner, values in features(batch.column(1)):
                 docs = int(owner[-1]) + 1
-                tails = model.tails(np.bincount(owner, model.weights[slots], docs))
+                tails = model.tails(np.bincount(owner, model.weights[slots] * values, docs))
                 yield pa.record_batch([
                     batch.column(0).slice(first, docs), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]),
                     pa.array((tails >= 0.5).sum(axis=1).astype(np.int32)), pa.array(tails[:, -1] >= tail)],
@@ -225,10 +245,10 @@ def keep(docs: DataFrame, model: Model | None, tail: float = TAIL) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
-            for first, slots, owner in features(batch.column(at)):
-                docs_here = int(owner[-1]) + 1
-                good[first:first + docs_here] = model.tails(
-                    np.bincount(owner, model.weights[slots], docs_here))[:, -1] >= tail
+            for first, slots, owner, values in features(batch.column(at)):
+                here = int(owner[-1]) + 1
+                good[first:first + here] = model.tails(
+                    np.bincount(owner, model.weights[slots] * values, here))[:, -1] >= tail
             yield batch.filter(pa.array(good))
 
     return docs.select(*columns).mapInArrow(run, docs.schema)

@@ -215,3 +215,13 @@ def near_groups(docs: DataFrame, size: int = 3, distance: int = DISTANCE, block:
     return (salted_left_join(rows, wide, "print", F.col("doc_id"))
             .select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"),
                     F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 3, distance: int = DISTANCE) -> DataFrame:
+    """The documents that name their component, all columns; a component without doc_ids keeps all its rows.
+
+    What goes is a small table of ids; it is sent along only where Spark finds it small.
+    """
+    gone = (near_groups(docs, size, distance).where("doc_id != component_id")
+            .select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
