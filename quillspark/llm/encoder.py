@@ -18,9 +18,9 @@ import pyarrow as pa
 
 from . import spans
 
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 # pieces that a worker process keeps; beyond that it starts anew
-KEEP_PIECES = 3_000_000
+KEEP_PIECES = 1_000_000
 # a piece longer than this is encoded, but not kept
 LONG_PIECE = 256
 # white space to Unicode that is not among the ASCII ones cut at
@@ -127,11 +127,10 @@ class PieceEncoder:
         where[fresh], lengths[fresh] = new_starts, new_lengths
         if len(self.keys) + len(fresh) <= KEEP_PIECES:
             short = new_lengths <= LONG_PIECE
-            keys = np.concatenate([self.keys, distinct[fresh][short]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.ids = keys[order], pool
-            self.starts = np.concatenate([self.starts, new_starts[short]])[order]
-            self.lengths = np.concatenate([self.lengths, new_lengths[short]])[order]
+            spot = at[fresh][short]
+            self.keys, self.ids = np.insert(self.keys, spot, distinct[fresh][short]), pool
+            self.starts = np.insert(self.starts, spot, new_starts[short])
+            self.lengths = np.insert(self.lengths, spot, new_lengths[short])
         else:
             self.keys, self.ids = self.keys[:0], self.ids[:0]
             self.starts, self.lengths = self.starts[:0], self.lengths[:0]

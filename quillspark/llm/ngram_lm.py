@@ -41,7 +41,7 @@ from ..session import written
 from . import spans
 from .tables import text_of
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 BUCKET_GRAMS = 4_000_000
 END = np.uint64(0x5EED0E2D)
 _ORDER_BITS = 3
@@ -91,7 +91,7 @@ class Block:
         self.ends = np.cumsum(self.counts)
         self.starts = self.ends - self.counts
         self.words = np.frombuffer(row["words"], np.uint64)
-        self.stream = unpack(row["stream"], int(row["n_tokens"]), "<u4").astype(np.int64)
+        self.stream = unpack(row["stream"], int(row["n_tokens"]), "<u4")
         train = np.repeat(~self.held, self.counts)
         place = np.arange(len(self.stream)) - np.repeat(self.starts, self.counts)
         hashed = self.words[self.stream]
@@ -103,7 +103,7 @@ class Block:
                                     + hashed)
             at = np.flatnonzero(place >= n - 1)
             keys, inverse = np.unique((running[at] << np.uint64(_ORDER_BITS)) | np.uint64(n), return_inverse=True)
-            which = np.full(len(hashed), -1, np.int64)
+            which = np.full(len(hashed), -1, np.int32)
             which[at] = inverse
             self.grams.append(keys)
             self.which.append(which)

@@ -34,7 +34,7 @@ from .tables import text_of
 PER_GRADE = 5000
 GRADES = 3
 TABLE_BITS = 18
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 # features of fewer training documents than this have no weight
 LEAST_DOCS = 10
 PENALTY = 2e-4

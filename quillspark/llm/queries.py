@@ -9,10 +9,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, tune
+from ..session import checkpoint_dir
 from . import (codes, exact_dedup, language, mixing, ngram_lm, packing, quality, shards, simhash,
                token_files)
-from .tables import read
+from .tables import prepared, read
 
 SHARDS = 40
 SEQUENCE = 4096
@@ -99,7 +99,7 @@ ORACLE_SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: (lambda spark, root, f=f: f(tune(spark), root)) for f in _QUERIES}
+    return {f.__name__: (lambda spark, root, f=f: f(prepared(spark), root)) for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import tune
+
 SALTS = 8
+# rows per batch between the JVM and Python: texts are long, and a batch is held on both sides
+BATCH_ROWS = 2000
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the library's settings, and batches that suit texts."""
+    tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
 
 
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
