@@ -121,9 +121,12 @@ def tool_label(tool: Column) -> Column:
 
 
 def cited_numbers(c: Column) -> Column:
-    """1-based source numbers cited in an answer, in order of appearance."""
+    """1-based source numbers cited in an answer, in order of appearance.
+
+    Wide digits count as digits; a number that is no int is null.
+    """
     return F.transform(F.regexp_extract_all(c, F.lit(P.CITATION), F.lit(1)),
-                       lambda n: n.cast("int"))
+                       lambda n: F.translate(n, "０１２３４５６７８９", "0123456789").try_cast("int"))
 
 
 def numbered_source(i: Column, text: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +20,14 @@ def last_change(changes: DataFrame, keys: list[str], version: list[str]) -> Data
 
 
 def upsert(state: DataFrame, changes: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
-    """Both sides carry the version columns; the last change wins."""
-    return last_change(state.unionByName(changes), keys, version).select(*state.columns)
+    """Both sides carry the version columns; the last change wins.
+
+    Rows of the state without a change are neither grouped nor sorted.
+    """
+    touched = changes.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = reduce(and_, [state[k].eqNullSafe(touched[f"_{k}"]) for k in keys])
+    changed = last_change(state.join(touched, same, "left_semi").unionByName(changes), keys, version)
+    return state.join(touched, same, "left_anti").unionByName(changed.select(*state.columns))
 
 
 def activate_exclusive(configs: DataFrame, targets: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ from .ranking import top_n
 
 BROADCAST_BYTES = 32 << 20
 BLOCK_ROWS = 16384
+MERGE_SALTS = 16
 BASE_BLOCK_BYTES = 64 << 20
 
 
@@ -113,8 +114,7 @@ def _nearest(queries: DataFrame, base: DataFrame, k: int, metric: str, limit: fl
                     "qid": pa.array(qids[best[0]]), "id": pa.array(best[1]),
                     "score": pa.array(best[2])})
 
-        tasks = 2 * base.sparkSession.sparkContext.defaultParallelism
-        return base.coalesce(tasks).mapInArrow(scan, schema)
+        return base.mapInArrow(scan, schema)
 
     n_base = base.count()
     q_blocks = -(-measured["n"] // block_rows)
@@ -144,7 +144,11 @@ def knn(queries: DataFrame, base: DataFrame, k: int = P.DENSE_K,
         base_block_bytes: int = BASE_BLOCK_BYTES) -> DataFrame:
     """Exact ``k`` nearest by squared L2: (qid, id, dist, rank), ties by id."""
     part = _nearest(queries, base, k, "l2", None, broadcast_bytes, block_rows, base_block_bytes)
-    return top_n(part.withColumnRenamed("score", "dist"), ["qid"], ["dist", "id"], k)
+    # every task brings k rows per query: first merged per query and salt, then per query
+    part = (part.withColumnRenamed("score", "dist")
+            .withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(MERGE_SALTS))))
+    part = top_n(part, ["qid", "salt"], ["dist", "id"], k).select("qid", "id", "dist")
+    return top_n(part, ["qid"], ["dist", "id"], k)
 
 
 def best_match(queries: DataFrame, base: DataFrame, threshold: float,

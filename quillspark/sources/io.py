@@ -14,7 +14,7 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 
 def decode_text(content: Column) -> Column:
-    """Bytes as UTF-8, or as GBK when they are not valid UTF-8."""
+    """Bytes as UTF-8, or as GBK when they are not valid UTF-8; bytes that are neither are replaced."""
     return (F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8"))
             .otherwise(F.decode(content, "GBK")))
 
@@ -22,6 +22,8 @@ def decode_text(content: Column) -> Column:
 def allow_gbk(spark: SparkSession) -> None:
     """GBK is outside Spark's default charset list; this switches the JVM's list on."""
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    # one bad file must not end the job
+    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
