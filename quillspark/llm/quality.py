@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import spans
 from .tables import text_of
 
-PER_GRADE = 5000
+PER_GRADE = 3000
 GRADES = 3
 TABLE_BITS = 18
 SLICE_BYTES = 1 << 21
@@ -135,8 +135,10 @@ def learn(slots: np.ndarray, owner: np.ndarray, values: np.ndarray, grades: np.n
     docs, size, cuts = len(grades), 1 << TABLE_BITS, GRADES - 1
     common = np.bincount(slots, minlength=size) >= LEAST_DOCS
     keep = common[slots]
-    slots, owner, values = slots[keep], owner[keep], values[keep]
-    used, slots = np.unique(slots, return_inverse=True)
+    used = np.flatnonzero(common)
+    slots = (np.cumsum(common, dtype=np.int32) - 1)[slots[keep]]
+    owner, values = owner[keep], values[keep]
+    del keep
     share = np.bincount(grades, minlength=GRADES)
     weight = (population / np.maximum(share, 1))[grades]
     weight /= weight.sum()
@@ -206,8 +208,8 @@ def fit(docs: DataFrame, graded: DataFrame, per_grade: int = PER_GRADE) -> Model
         population[row["grade"]] = row["count"]
     lists = found.column("slots").combine_chunks()
     counts = lists.value_lengths().to_numpy(zero_copy_only=False)
-    return learn(lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(rated)), counts),
-                 found.column("values").combine_chunks().flatten().to_numpy().astype(float), rated, population)
+    return learn(lists.flatten().to_numpy(), np.repeat(np.arange(len(rated), dtype=np.int32), counts),
+                 found.column("values").combine_chunks().flatten().to_numpy(), rated, population)
 
 
 def _score_rows(model: Model, tail: float):
