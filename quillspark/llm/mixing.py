@@ -72,7 +72,7 @@ def budgets(leaves: DataFrame, levels: list[str], weights: Weights, budget: Colu
         path = levels[:depth]
         nodes = (leaves.groupBy(*path).agg((F.sum("tokens") * epochs).cast("double").alias("capacity"))
                  .withColumn("weight", _weight(path, weights)).where("weight > 0"))
-        nodes = nodes.join(at, path[:-1]) if depth > 1 else nodes.join(F.broadcast(at))  # one row
+        nodes = nodes.join(at, path[:-1]) if depth > 1 else nodes.withColumn("budget", at.scalar())
         at = share_out(nodes, path[:-1], path).select(*path, F.col("alloc").alias("budget"))
     return leaves.join(at, levels, "left").withColumn("budget", F.floor(F.coalesce("budget", F.lit(0.0))))
 
