@@ -36,13 +36,13 @@ GRADES = 3
 TABLE_BITS = 18
 SLICE_BYTES = 1 << 21
 # features of fewer training documents than this have no weight
-LEAST_DOCS = 10
-PENALTY = 2e-4
+LEAST_DOCS = 30
+PENALTY = 2e-5
 RATE = 0.05
-TURNS = 250
-TAIL = 0.7
+TURNS = 600
+TAIL = 0.55
 # a word feature's value among n is WORD_SCALE / sqrt(n + WORD_SCALE^2), so that long texts do not drown in noise
-WORD_SCALE = 4.0
+WORD_SCALE = 2.0
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#$%&*+/<=>@\\^_`|~{}[]"]] = True
 
