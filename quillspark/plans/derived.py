@@ -122,10 +122,11 @@ def doc_vectors(t) -> DataFrame:
 
 
 def cache_entries(t) -> DataFrame:
-    return (t.embeddings.filter(F.col("label") < 5)
-            .select(F.md5(F.col("vec_id").cast("string")).alias("key"),
-                    F.col("embedding").alias("v"),
-                    F.concat(F.lit("answer "), F.col("vec_id").cast("string")).alias("answer")))
+    """Every vector is cached, those of the upper labels turned around, so that some lookups miss."""
+    v = F.when(F.col("label") < 5, F.col("embedding")).otherwise(F.reverse("embedding"))
+    return t.embeddings.select(
+        F.md5(F.col("vec_id").cast("string")).alias("key"), v.alias("v"),
+        F.concat(F.lit("answer "), F.col("vec_id").cast("string")).alias("answer"))
 
 
 # --- graph ---------------------------------------------------------------
@@ -201,14 +202,16 @@ def configs(t) -> DataFrame:
 
 
 def feedback(t) -> DataFrame:
-    """Ratings of the answers of the conversation with the document's number."""
+    """Ratings of the answers of a conversation: every label rates one, numbered round and round."""
     m = msgs(t).filter(F.col("role") == "ai").select("message_id", "session_id")
-    f = t.labels.select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("session_id"),
-                        "doc_id", (F.col("quality") == 1).alias("is_helpful"))
+    n = t.conversations.agg(F.max("conv_id") + 1).scalar()
+    f = (t.labels.withColumn("conv_id", F.col("doc_id") % n)
+         .select(F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"),
+                 "conv_id", "doc_id", (F.col("quality") == 1).alias("is_helpful")))
     return m.join(f, "session_id").select(
         "message_id",
-        F.when(F.col("doc_id") % 5 == 4, (F.col("doc_id") + 1) % 30)
-        .otherwise(F.col("doc_id") % 30).alias("user_id"),
+        F.when(F.col("doc_id") % 5 == 4, (F.col("conv_id") + 1) % 30)
+        .otherwise(F.col("conv_id") % 30).alias("user_id"),
         "is_helpful",
         F.concat(F.lit("note "), F.col("doc_id").cast("string")).alias("note"),
         F.col("doc_id").alias("version"))
@@ -291,9 +294,10 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM documents d JOIN embeddings e
           ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings)"""),
     "cache_entries": ((), """
-        SELECT md5(CAST(vec_id AS VARCHAR)) AS key, embedding AS v,
+        SELECT md5(CAST(vec_id AS VARCHAR)) AS key,
+               CASE WHEN label < 5 THEN embedding ELSE list_reverse(embedding) END AS v,
                'answer ' || vec_id AS answer
-        FROM embeddings WHERE label < 5"""),
+        FROM embeddings"""),
     "raw_triples": ((), """
         SELECT id, p_name || ' is supplied by ' || s_name AS source_text,
                CASE WHEN id % 10 = 1 THEN 'no triple found, sorry'
@@ -341,9 +345,11 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
                s_acctbal > 5000 AS is_active FROM supplier"""),
     "feedback": (("msgs",), """
         SELECT m.message_id,
-               CASE WHEN l.doc_id % 5 = 4 THEN (l.doc_id + 1) % 30 ELSE l.doc_id % 30 END AS user_id,
+               CASE WHEN l.doc_id % 5 = 4 THEN (l.conv_id + 1) % 30 ELSE l.conv_id % 30 END AS user_id,
                l.quality = 1 AS is_helpful, 'note ' || l.doc_id AS note, l.doc_id AS version
-        FROM msgs m JOIN labels l ON m.session_id = 's' || l.doc_id WHERE m.role = 'ai'"""),
+        FROM msgs m JOIN (
+          SELECT *, doc_id % (SELECT max(conv_id) + 1 FROM conversations) AS conv_id FROM labels) l
+          ON m.session_id = 's' || l.conv_id WHERE m.role = 'ai'"""),
     "frames": (("msgs",), """
         SELECT CAST(message_id AS VARCHAR) AS stream_id, 0::BIGINT AS seq, 'sources' AS type,
                'src ' || session_id AS data FROM msgs WHERE role = 'ai'

@@ -118,11 +118,30 @@ def knn_l2_top40(t):
     return r.select("qid", "id", "dist", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("knn_ivf")
-def knn_ivf(t):
+def ivf(t, probe):
     base = D.doc_vectors(t).select("id", "v")
     centres = DN.fit_cells(base, 16)
-    return DN.knn_cells(D.queries_both(t), DN.assign_cells(base, centres), centres)
+    # the cells are counted and read: assign them once
+    return DN.knn_cells(D.queries_both(t), written(DN.assign_cells(base, centres)), centres, probe=probe)
+
+
+@query("knn_ivf")
+def knn_ivf(t):
+    return ivf(t, 4)
+
+
+@query("knn_ivf_all_cells", "SELECT qid, id, dist, rank FROM knn", ("knn",))
+def knn_ivf_all_cells(t):
+    """With every cell probed the result is exact."""
+    return ivf(t, 16).select("qid", "id", "dist", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("knn_ivf_recall", "SELECT true AS enough")
+def knn_ivf_recall(t):
+    """Whether the cells that are probed by default hold at least half of the exact neighbours."""
+    exact = DN.knn(D.queries_both(t), D.doc_vectors(t), P.DENSE_K).select("qid", "id")
+    both = exact.join(ivf(t, 4).select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
+    return both.agg((F.count("hit") >= F.count("*") * 0.5).alias("enough"))
 
 
 @query("hash_embed")
@@ -130,6 +149,16 @@ def hash_embed(t):
     return DN.hash_embed(corpus(t), "text").select("id", F.to_json("v").alias("v"))
 
 
+@query("hash_embed_shape", """
+    SELECT d.doc_id AS id, 256 AS dim, c.id IS NOT NULL AS unit FROM documents d
+    LEFT JOIN (SELECT DISTINCT id FROM corpus_tok) c ON c.id = d.doc_id""", ("corpus_tok",))
+def hash_embed_shape(t):
+    """The vector of a text with tokens has length one, that of any other is zero."""
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    return DN.hash_embed(corpus(t), "text").select(
+        "id", F.size("v").alias("dim"), (F.abs(square - 1) < 1e-3).alias("unit"))
+
+
 def candidates(t):
     return HY.hybrid_candidates(D.queries_both(t), D.doc_vectors(t))
 
