@@ -71,7 +71,7 @@ def chunk_recursive(t):
     return K.recursive_chunks(t.texts.select("doc_id", "text"))
 
 
-@query("chunk_build", r"""
+CHUNK_BUILD = r"""
     WITH c AS (SELECT doc_id, chunk_idx, """ + strip_sql("""
              CASE WHEN doc_id % 2 = 0 THEN '依据第' || doc_id || '条规定 ' || text ELSE text END""") + r"""
              AS text FROM chunks)
@@ -82,7 +82,10 @@ def chunk_recursive(t):
           FROM (SELECT doc_id, chunk_idx,
                        regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g') AS text
                 FROM c WHERE NOT contains(text, '........')))
-    WHERE length(text) >= 15""", ("chunks",))
+    WHERE length(text) >= 15"""
+
+
+@query("chunk_build", CHUNK_BUILD, ("chunks",))
 def chunk_build(t):
     c = D.chunks(t).withColumn("path", F.lit(None).cast("string")).withColumn(
         "text", F.when(F.col("doc_id") % 2 == 0, F.concat(

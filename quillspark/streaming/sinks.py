@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import changes as C
 from ..operators import chunking as K
@@ -19,7 +20,7 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_batches(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path).drop("batch_id")
 
 
@@ -51,15 +52,15 @@ def ingest(files: DataFrame, chunk_path: str, postings_path: str, checkpoint: st
             .trigger(availableNow=True).start())
 
 
-def log_cache_puts(puts: DataFrame, path: str, checkpoint: str):
-    """Answer stream -> log of keyed puts; only the last one per key and batch is written."""
+def log_cache_puts(puts: DataFrame, path: str, checkpoint: str, version: list[str] | None = None):
+    """Answer stream -> log of keyed puts; only the last one (by ``version``) per key and batch is written."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        write_batch(C.last_change(batch, ["key"], ["ts"]), path, batch_id)
+        write_batch(C.last_change(batch, ["key"], version or ["ts"]), path, batch_id)
 
     return (puts.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_cache(spark: SparkSession, path: str, schema: str, version: list[str] | None = None) -> DataFrame:
     """The cache as of now: last put per key over the log."""
-    return C.last_change(read_batches(spark, path, schema), ["key"], ["ts"])
+    return C.last_change(read_batches(spark, path, schema), ["key"], version or ["ts"])
