@@ -68,9 +68,14 @@ def build_index(docs: DataFrame, tokenizer=None) -> SparseIndex:
 
 
 def extend_index(index: SparseIndex, docs: DataFrame, tokenizer=None) -> SparseIndex:
-    """Only the new documents are tokenised; the statistics are taken anew."""
-    both = index.postings.unionByName(written(build_postings(docs, tokenizer)))
-    return summarise(both, index.n_docs + docs.count())
+    """Only the new documents are tokenised; the statistics are taken anew.
+
+    Documents whose ids have postings are in the index and are left as they are.
+    A document without tokens has none, so it must not be given twice.
+    """
+    fresh = written(docs.join(index.postings.select("id").distinct(), "id", "left_anti"))
+    both = index.postings.unionByName(written(build_postings(fresh, tokenizer)))
+    return summarise(both, index.n_docs + fresh.count())
 
 
 def save_index(index: SparseIndex, table: str, buckets: int) -> None:

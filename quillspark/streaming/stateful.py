@@ -43,10 +43,12 @@ def bounded_history(msgs: DataFrame, key: str = "session_id", n: int = P.HISTORY
             held = sorted(set(held) | set(zip(pdf["micros"].tolist(), pdf["order_no"].tolist(),
                                               pdf["content"].tolist())))[-n:]
         held = live_tail(held, n, ttl_seconds)
-        state.update(tuple(list(c) for c in zip(*held)))
         expiry = held[-1][0] // 1000 + ttl_seconds * 1000
         if expiry > state.getCurrentWatermarkMs():
+            state.update(tuple(list(c) for c in zip(*held)))
             state.setTimeoutTimestamp(expiry)
+        elif state.exists:  # ended already: no timeout would ever come
+            state.remove()
         yield pd.DataFrame({key: [k[0]], "size": [len(held)], "last_order": [held[-1][1]],
                             "history": ["\n".join(h[2] for h in held)]})
 
@@ -58,15 +60,28 @@ def bounded_history(msgs: DataFrame, key: str = "session_id", n: int = P.HISTORY
                 "update", GroupStateTimeout.EventTimeTimeout))
 
 
-def assemble_answers(frames: DataFrame) -> DataFrame:
+def assemble_answers(frames: DataFrame, patience_ms: int | None = None) -> DataFrame:
     """(stream_id, seq, type, data) stream -> one row per answer once it is complete.
 
     An answer is complete when its ``done`` frame and all frames before it have
-    arrived, in whatever order and micro-batches.
+    arrived, in whatever order and micro-batches. An ``error`` frame ends it
+    without a row. With ``patience_ms``, an answer for which nothing has come for
+    so long is emitted with the frames that are there if ``done`` is among them,
+    as the batch form does, and dropped otherwise. Give it to streams that run
+    on: a timeout by the clock keeps an ``availableNow`` stream from ending.
     """
+    def row(k: tuple, parts: dict, sources: str) -> pd.DataFrame:
+        return pd.DataFrame({"stream_id": [k[0]], "sources": [sources],
+                             "content": ["".join(parts[s] for s in sorted(parts))]})
+
     def update(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         seqs, texts, sources, src_seq, done = state.get if state.exists else ([], [], "[]", -1, -1)
-        parts = dict(zip(seqs, texts))
+        parts, failed = dict(zip(seqs, texts)), False
+        if state.hasTimedOut:
+            state.remove()
+            if done >= 0:
+                yield row(k, parts, sources)
+            return
         for pdf in batches:
             for seq, kind, data in zip(pdf["seq"], pdf["type"], pdf["data"]):
                 if kind == "content":
@@ -77,15 +92,20 @@ def assemble_answers(frames: DataFrame) -> DataFrame:
                         sources, src_seq = data, int(seq)
                 elif kind == "done":
                     done = int(seq)
-        if done >= 0 and len(parts) >= done:
-            state.remove()
-            yield pd.DataFrame({"stream_id": [k[0]], "sources": [sources],
-                                "content": ["".join(parts[s] for s in sorted(parts))]})
+                elif kind == "error":
+                    failed = True
+        if failed or (done >= 0 and len(parts) >= done):
+            if state.exists:
+                state.remove()
+            if not failed:
+                yield row(k, parts, sources)
         else:
             state.update((list(parts), list(parts.values()), sources, src_seq, done))
+            if patience_ms:
+                state.setTimeoutDuration(patience_ms)
 
     return frames.select("stream_id", "seq", "type", "data").groupBy("stream_id") \
         .applyInPandasWithState(
             update, "stream_id string, content string, sources string",
             "seqs array<long>, texts array<string>, sources string, src_seq long, done long",
-            "append", GroupStateTimeout.NoTimeout)
+            "append", GroupStateTimeout.ProcessingTimeTimeout if patience_ms else GroupStateTimeout.NoTimeout)

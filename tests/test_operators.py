@@ -100,6 +100,8 @@ def test_index_extend_save_load(spark, words):
     index = S.extend_index(S.build_index(df.filter("id < 70")), df.filter("id >= 70"))
     want = rows(S.bm25_top(S.build_index(df), q))
     assert rows(S.bm25_top(index, q)) == want
+    again = S.extend_index(index, df.filter("id < 10"))  # all known
+    assert again.n_docs == index.n_docs and rows(S.bm25_top(again, q)) == want
     S.save_index(index, "idx", 4)
     loaded = S.load_index(spark, "idx")
     assert rows(S.bm25_top(loaded, q)) == want

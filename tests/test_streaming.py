@@ -1,5 +1,7 @@
 """Streams give what the batch operators give."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +142,31 @@ def test_cache_log(spark, t, tmp_path):
     got = sinks.read_cache(spark, str(tmp_path / "log"), "key STRING, value DOUBLE, ts TIMESTAMP_NTZ")
     from quillspark.operators.changes import last_change
     same(got.select("key", "ts", "value"), last_change(puts, ["key"], ["ts"]).select("key", "ts", "value"))
+
+
+def test_lost_frames_and_errors(spark, tmp_path):
+    """A gap is waited for and then passed over; an error ends an answer; nothing stays for ever."""
+    first = spark.createDataFrame(
+        [("gap", 0, "sources", "s"), ("gap", 1, "content", "a"), ("gap", 3, "done", ""),
+         ("open", 0, "content", "x"), ("bad", 0, "content", "y"), ("bad", 1, "error", "no model"),
+         ("whole", 0, "content", "z"), ("whole", 1, "done", "")],
+        "stream_id string, seq long, type string, data string").coalesce(1)
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    first.write.parquet(path)
+    frames = spark.readStream.schema(first.schema).parquet(path)
+    q = (stateful.assemble_answers(frames, 2000).writeStream
+         .foreachBatch(lambda b, i: sinks.write_batch(b, out, i))
+         .option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start())
+    got = []
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            if q.lastProgress:
+                rows = sinks.read_batches(spark, out, "stream_id string, content string, sources string")
+                got = sorted((r["stream_id"], r["content"]) for r in rows.collect())
+                left = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+                if len(got) >= 2 and left == 0:
+                    break
+    finally:
+        q.stop()
+    assert got == [("gap", "a"), ("whole", "z")] and left == 0
