@@ -11,6 +11,11 @@ Tasks give a spanning forest of the links inside one key, never all pairs. Keys
 that hold more than ``BLOCK`` fingerprints are compared block against block in
 tasks of their own; no pair is left out.
 
+``near_groups`` is the query's contract: three words, 3 bits. ``drop_near_duplicates`` is
+the pipeline's stage: five words and a Jaccard similarity of ``SIMILAR`` or more. Pairs that
+similar differ in far more bits, so the ring is wide there, and a pair that meets is only a
+candidate: sketches and then the texts themselves decide.
+
 Defined cases: null text is empty; a text without words has fingerprint zero,
 which is linked like any other; null doc_ids never name a component unless the
 component has no other; an empty table gives an empty result.
@@ -23,7 +28,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -36,15 +41,26 @@ DISTANCE = 3
 SEGMENTS = 8
 BLOCK = 4096
 SEED = 42
-
-
-def fingerprint(text: str, size: int = 3) -> int:
-    """Bit-wise majority of the XXH64 of all word shingles; 0 if there is no word."""
+# near copies of the pipeline: shingles of so many words, in common to at least this share
+WORDS = 5
+SIMILAR = 0.8
+# in sf0.1 no pair that similar differs in more than 14 bits
+WIDE = 15
+WIDE_SEGMENTS = 16
+# candidates per fingerprint and key besides the spanning tree, nearest first
+NEIGHBOURS = 8
+# least hashes of a text; pairs whose sketches agree by less than LEAST_SHARE are not compared
+SKETCH = 64
+LEAST_SHARE = 0.5
+
+
+def _shingle_hashes(text: str, size: int) -> np.ndarray:
+    """XXH64 of every word shingle, of all words if there are fewer; none if there is no word."""
     raw = np.frombuffer(text.encode(), np.uint8)
     starts, ends, _ = words(raw, np.array([0, len(raw)]))
     n = len(starts)
     if n == 0:
-        return 0
+        return np.zeros(0, np.uint64)
     lengths = ends - starts
     joined = b" ".join(LOWER[raw].tobytes().split())
     begin = np.cumsum(lengths + 1) - lengths - 1
@@ -54,13 +70,20 @@ def fingerprint(text: str, size: int = 3) -> int:
     else:
         firsts, lasts = begin[:n - size + 1].tolist(), over[size - 1:].tolist()
     digest = xxhash.xxh64_intdigest
-    ones, shingles = np.zeros(BITS, np.int64), len(firsts)
-    for i in range(0, shingles, 1 << 16):
-        hashed = np.array([digest(joined[a:b], SEED) for a, b in zip(firsts[i:i + (1 << 16)], lasts[i:i + (1 << 16)])],
-                          np.uint64)
-        bits = np.unpackbits(hashed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(firsts, lasts)), np.uint64, len(firsts))
+
+
+def _majority(hashed: np.ndarray) -> int:
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashed), 1 << 16):
+        bits = np.unpackbits(hashed[i:i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return sum(1 << i for i in np.flatnonzero(2 * ones > shingles).tolist())
+    return sum(1 << i for i in np.flatnonzero(2 * ones > len(hashed)).tolist())
+
+
+def fingerprint(text: str, size: int = 3) -> int:
+    """Bit-wise majority of the XXH64 of all word shingles; 0 if there is no word."""
+    return _majority(_shingle_hashes(text, size))
 
 
 def _fingerprint_rows(size: int):
@@ -140,11 +163,42 @@ def _forest(left: np.ndarray, right: np.ndarray, start: int, distance: int) -> l
     return found
 
 
-def _link_rows(starts: list[int], distance: int):
+def _nearest(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Links of a minimum spanning forest and to the ``NEIGHBOURS`` nearest, none of more than ``distance`` bits.
+
+    The links of a group grow with its size, not with its square.
+    """
+    nodes = np.unique(prints)
+    n, far = len(nodes), BITS + 1
+    best, parent = np.full(n, far, np.int64), np.zeros(n, np.int64)
+    open_ = np.ones(n, bool)
+    found: set[tuple[int, int]] = set()
+    at = 0
+    for _ in range(n):
+        open_[at] = False
+        bits = np.bitwise_count(nodes[at] ^ nodes).astype(np.int64)
+        bits[at] = far
+        near = np.flatnonzero(bits <= distance)
+        if len(near):
+            if len(near) > NEIGHBOURS:
+                near = near[np.argsort(bits[near], kind="stable")[:NEIGHBOURS]]
+            found.update((min(at, j), max(at, j)) for j in near.tolist())
+        closer = open_ & (bits < best)
+        best[closer], parent[closer] = bits[closer], at
+        best[at] = far + 1
+        at = int(np.argmin(best))
+        if best[at] <= distance:
+            found.add((min(at, int(parent[at])), max(at, int(parent[at]))))
+    return [(int(nodes[a]), int(nodes[b])) for a, b in sorted(found)]
+
+
+def _link_rows(starts: list[int], distance: int, nearest: bool = False):
     """Links among rows (task, mask, print, side) sorted by task; a task may span batches."""
     def links(prints: np.ndarray, sides: np.ndarray, mask: int) -> list[tuple[int, int]]:
         if len(prints) < 2:
             return []
+        if nearest:
+            return _nearest(prints, distance)
         left, right = prints[sides != 1], prints[sides != 0]
         return _forest(left, right, starts[mask], distance)
 
@@ -175,9 +229,13 @@ def _link_rows(starts: list[int], distance: int):
     return run
 
 
-def links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """Spanning links (a, b) between distinct fingerprints (``print``) of at most ``distance`` differing bits."""
-    keys = ring_masks(distance)
+def links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK, segments: int = SEGMENTS,
+          nearest: bool = False) -> DataFrame:
+    """Spanning links (a, b) between distinct fingerprints (``print``) of at most ``distance`` differing bits.
+
+    With ``nearest`` the links of each key are those of ``_nearest``, for callers that check them further.
+    """
+    keys = ring_masks(distance, segments)
     masks = F.array(*[F.lit(m - (1 << 64) if m >= 1 << 63 else m) for _, m in keys])
     keyed = (prints.select("print", F.posexplode(masks).alias("mask", "bits"))
              .select("print", "mask", F.xxhash64("mask", F.col("print").bitwiseAND(F.col("bits"))).alias("key")))
@@ -195,7 +253,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Da
                    F.expr("case when own = other then 2 when own < other then 0 else 1 end").alias("side")))
     tasks = plain.unionByName(hot)
     return (tasks.repartition("task").sortWithinPartitions("task").select("task", "mask", "print", "side")
-            .mapInArrow(_link_rows([s for s, _ in keys], distance), "a long, b long").distinct())
+            .mapInArrow(_link_rows([s for s, _ in keys], distance, nearest), "a long, b long").distinct())
 
 
 def near_groups(docs: DataFrame, size: int = 3, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
@@ -217,11 +275,115 @@ def near_groups(docs: DataFrame, size: int = 3, distance: int = DISTANCE, block:
                     F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 3, distance: int = DISTANCE) -> DataFrame:
-    """The documents that name their component, all columns; a component without doc_ids keeps all its rows.
+def _sketch_rows(size: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, sizes, least = [], [], []
+            for text in batch.column(2).to_pylist():
+                hashed = _shingle_hashes(text, size)
+                distinct = np.unique(hashed)
+                prints.append(_majority(hashed))
+                sizes.append(len(distinct))
+                least.append(distinct[:SKETCH].view(np.int64))
+            yield pa.record_batch([batch.column(0), batch.column(1),
+                                   pa.array(np.array(prints, np.uint64).view(np.int64), pa.int64()),
+                                   pa.array(sizes, pa.int32()), pa.array(least, pa.list_(pa.int64()))],
+                                  names=["node", "doc_id", "print", "shingles", "sketch"])
+    return run
+
+
+def _maybe_similar(similar: float):
+    """Of rows (a, b, shingles, sketch, other_shingles, other_sketch) the (a, b) that can be similar."""
+    def possible(n: int, left: np.ndarray, m: int, right: np.ndarray) -> bool:
+        if min(n, m) < similar * max(n, m):
+            return False
+        if not max(n, m):
+            return True
+        left, right = left.view(np.uint64), right.view(np.uint64)
+        union = np.union1d(left, right)[:SKETCH]
+        both = np.intersect1d(np.intersect1d(left, right, True), union, True)
+        return len(both) >= min(similar, LEAST_SHARE) * len(union)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [batch.column(i).to_pylist() for i in (2, 4)]
+            lists = [[x.values.to_numpy() for x in batch.column(i)] for i in (3, 5)]
+            good = [possible(*x) for x in zip(sizes[0], lists[0], sizes[1], lists[1])]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+    return run
+
+
+def shingle_set(text: str, size: int = WORDS) -> set[tuple[bytes, ...]]:
+    """The distinct word shingles; all words as one if there are fewer, none if there is no word."""
+    own = LOWER[np.frombuffer(text.encode(), np.uint8)].tobytes().split()
+    if len(own) < size:
+        return {tuple(own)} if own else set()
+    return set(zip(*[own[i:] for i in range(size)]))
+
+
+def jaccard(left: set, right: set) -> float:
+    """Common share of two sets; two empty ones are alike."""
+    both = len(left & right)
+    return both / (len(left) + len(right) - both) if left or right else 1.0
+
+
+def _similar_rows(size: int, similar: float):
+    """Of rows (a, b, text, other) the (a, b) whose texts are similar."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [jaccard(shingle_set(x.as_py(), size), shingle_set(y.as_py(), size)) >= similar
+                    for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+    return run
+
 
-    What goes is a small table of ids; it is sent along only where Spark finds it small.
+def _node(docs: DataFrame) -> Column:
+    """What tells rows apart: doc_id and text together, so that a doc_id on two texts is two documents."""
+    return F.xxhash64(docs["doc_id"].cast("long"), text_of(docs))
+
+
+def _beside(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The pairs (a, b) with ``columns`` of the row of a, then those of the row of b as other_..."""
+    left = rows.select(F.col("node").alias("a"), *columns)
+    right = rows.select(F.col("node").alias("b"), *[F.col(c).alias(f"other_{c}") for c in columns])
+    return (pairs.join(left, "a").join(right, "b")
+            .select("a", "b", *columns, *[f"other_{c}" for c in columns]))
+
+
+def similar_pairs(docs: DataFrame, size: int = WORDS, similar: float = SIMILAR, distance: int = WIDE,
+                  segments: int = WIDE_SEGMENTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Rows (node, doc_id, ...) of all documents, and links (a, b) of nodes whose texts are similar."""
+    texts = docs.select(_node(docs).alias("node"), F.col("doc_id").cast("long").alias("doc_id"),
+                        text_of(docs).alias("text"))
+    rows = written(texts.mapInArrow(_sketch_rows(size), "node long, doc_id long, print long, shingles int, "
+                                                        "sketch array<long>").dropDuplicates(["node"]))
+    classes = written(rows.groupBy("print").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    met = written(links(classes.select("print"), distance, block, segments, nearest=True))
+    first = classes.select("print", "first")
+    between = (met.join(first.select(F.col("print").alias("a"), F.col("first").alias("_a")), "a")
+               .join(first.select(F.col("print").alias("b"), F.col("first").alias("_b")), "b")
+               .select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    inside = (salted_left_join(rows.select("node", "print"), classes.where("n > 1"), "print", F.col("node"))
+              .where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")))
+    maybe = written(_beside(between.union(inside), rows, ["shingles", "sketch"])
+                    .mapInArrow(_maybe_similar(similar), "a long, b long"))
+    asked = maybe.select(F.col("a").alias("node")).union(maybe.select("b")).distinct()
+    # only the texts of candidates move
+    needed = written(texts.join(asked, "node", "left_semi").select("node", "text").dropDuplicates(["node"]))
+    return rows, written(_beside(maybe, needed, ["text"]).mapInArrow(_similar_rows(size, similar), "a long, b long"))
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = WORDS, similar: float = SIMILAR, distance: int = WIDE,
+                         segments: int = WIDE_SEGMENTS) -> DataFrame:
+    """One document of each component of similar texts, that of the smallest doc_id, all columns.
+
+    What goes is a small table of rows; it is sent along only where Spark finds it small.
     """
-    gone = (near_groups(docs, size, distance).where("doc_id != component_id")
-            .select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    rows, found = similar_pairs(docs, size, similar, distance, segments)
+    linked = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    labels = components(linked.withColumn("label", F.col("node")), found).join(rows.select("node", "doc_id"), "node")
+    # null doc_ids come last
+    stays = labels.groupBy("label").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))["node"].alias("stays"))
+    gone = labels.join(stays, "label").where("node <> stays").select(F.col("node").alias("_gone"))
+    return docs.join(gone, _node(docs) == gone["_gone"], "left_anti")

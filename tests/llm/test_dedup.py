@@ -141,3 +141,49 @@ def test_shares_follow_weights(spark):
                                  lambda d: shards.place(d, shards.Tree.even(2, 2, 2), 8)])
 def test_empty_table(documents, run):
     assert run(documents.limit(0)).count() == 0
+
+
+def near_texts():
+    """600 texts of 80 to 400 words, and for each a copy with a few words changed."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(600):
+        own = [f"w{x}" for x in rng.zipf(1.3, rng.integers(80, 400)) % 5000]
+        copy = list(own)
+        for at in rng.choice(len(own), max(1, len(own) // int(rng.integers(35, 120))), replace=False):
+            copy[at] = "changed"
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(copy))]
+    return rows
+
+
+def test_near_copies_of_the_pipeline(spark):
+    rows = near_texts()
+    words = [t.split() for _, t in rows]
+    sets = [set(zip(*[w[k:] for k in range(5)])) for w in words]
+    alike = {(i, i + 1) for i in range(0, len(rows), 2)
+             if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    close = {p for p in alike if len(sets[p[0]] & sets[p[1]]) < 0.85 * len(sets[p[0]] | sets[p[1]])}
+    assert 60 < len(close) < len(alike) < 600
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = set(range(len(rows))) - kept
+    assert gone <= {b for _, b in alike}  # no text without a similar one goes
+    assert len(gone) >= 0.95 * len(alike)
+    assert len(gone & {b for _, b in close}) >= 0.9 * len(close)
+
+
+def test_links_of_a_group_do_not_grow_with_its_square():
+    rng = np.random.default_rng(4)
+    group = np.array([int(sum(1 << int(b) for b in rng.choice(64, 2, replace=False))) for _ in range(900)], np.uint64)
+    found = simhash._nearest(group, 15)
+    n = len(np.unique(group))
+    assert n > 700 and len(found) <= (simhash.NEIGHBOURS + 1) * n
+    parent = {int(x): int(x) for x in group}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in found:
+        parent[root(a)] = root(b)
+    assert len({root(x) for x in parent}) == 1
