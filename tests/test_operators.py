@@ -22,6 +22,7 @@ from quillspark.operators import ranking as R
 from quillspark.operators import sparse as S
 from quillspark.operators import topics as TP
 from quillspark.plans import derived as D
+from quillspark.plans import retrieval as RT
 from quillspark.plans.catalog import Tables
 from quillspark.session import checkpoint_dir, drop_written, written
 from quillspark.sources import io, schemas
@@ -161,6 +162,13 @@ def test_ivf_recall(spark, t):
     assert every == exact
 
 
+def test_registered_ivf_recall(t):
+    """The query as it is registered, not cells of the test's own."""
+    exact = {(r["qid"], r["id"]) for r in RT.knn_l2_top40(t).collect()}
+    near = {(r["qid"], r["id"]) for r in RT.knn_ivf(t).collect()}
+    assert len(exact & near) / len(exact) >= 0.9
+
+
 def test_cells_on_disk(spark, t, tmp_path):
     base = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     centres = DN.fit_cells(base, 4)
