@@ -4,7 +4,8 @@ A text is cut before each run of white space, and between an ASCII letter or
 digit and an ASCII punctuation mark other than an apostrophe. No pre-token of the
 tokenizers in use crosses such a place. The pieces are hashed, each distinct one
 is encoded by the library, and the ids are put together again. Texts with white
-space outside ASCII are encoded whole. Results are those of encoding whole texts.
+space outside ASCII, or with the string of one of the tokenizer's added tokens
+(such as <|endoftext|>), are encoded whole. Results are those of encoding whole texts.
 """
 
 from __future__ import annotations
@@ -52,7 +53,11 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # the library finds the strings of these tokens in a text before anything else; case only widens what is found
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))), re.IGNORECASE) if added else None
+        self.added_leads = np.zeros(256, bool)
+        self.added_leads[[b for t in added for x in (t.lower(), t.upper()) for b in x.encode()[:1]]] = True
         self.keys = np.zeros(0, np.uint64)  # ascending
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
@@ -99,13 +104,14 @@ class PieceEncoder:
             parts.append(next(odd_ids) if odd[i] else ids[place[i]:place[i + 1]])
         return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
-    @staticmethod
-    def _odd(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Documents with white space outside ASCII. The byte test only skips documents that cannot have any."""
+    def _odd(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Documents with white space outside ASCII or an added token. The byte test only skips documents that cannot have any."""
         odd = np.zeros(len(offsets) - 1, bool)
-        suspect = np.unique(np.searchsorted(offsets, np.flatnonzero(_ODD_LEADS[data]), side="right") - 1)
+        suspect = np.unique(np.searchsorted(offsets, np.flatnonzero((_ODD_LEADS | self.added_leads)[data]), side="right") - 1)
         for i in suspect:
-            odd[i] = _ODD_SPACE.search(data[offsets[i]:offsets[i + 1]].tobytes().decode()) is not None
+            text = data[offsets[i]:offsets[i + 1]].tobytes().decode()
+            odd[i] = (_ODD_SPACE.search(text) is not None
+                      or self.added is not None and self.added.search(text) is not None)
         return odd
 
     def _pieces(self, data, starts, ends):

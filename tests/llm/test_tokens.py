@@ -2,10 +2,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from quillspark.llm import packing, token_files
+from quillspark.llm import encoder, packing, token_files
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -78,3 +79,16 @@ def test_empty_table(spark, documents, tmp_path):
     token_files.write(documents.limit(0), str(tmp_path / "e"), BYTE, 2)
     assert token_files.checksums(token_files.read_tokens(spark, str(tmp_path / "e"))).count() == 0
     assert packing.pack(documents.limit(0), WORD, 1, 64).count() == 0
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_ids_are_those_of_the_unchanged_library(path):
+    texts = ["one two <|endoftext|> three", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|startoftext|> x, y",
+             "<|EndOfText|> no", "<|endoftext", "a|b <c>", "", "two\u3000 three <|endoftext|>", "plain text, twice  over"]
+    library = Tokenizer.from_file(path)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    got = []
+    for _, all_ids, counts in encoder.PieceEncoder(path).documents(pa.array(texts)):
+        got += [x.tolist() for x in np.split(all_ids, np.cumsum(counts)[:-1])]
+    assert got == want
+    assert len(want[0]) == (5 if path == BYTE else 4)
