@@ -35,8 +35,10 @@ PER_GRADE = 3000
 GRADES = 3
 TABLE_BITS = 18
 SLICE_BYTES = 1 << 21
-# features of fewer training documents than this have no weight
-LEAST_DOCS = 30
+# features of fewer training documents than this have no weight: one document tells nothing about others
+LEAST_DOCS = 2
+# a feature's value counts in full where its share differs much between grades: z^2 / (z^2 + DOUBT)
+DOUBT = 30.0
 PENALTY = 2e-5
 RATE = 0.05
 TURNS = 600
@@ -126,10 +128,29 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
 
 
+def _relevance(slots: np.ndarray, owner: np.ndarray, grades: np.ndarray, size: int) -> np.ndarray:
+    """How far each feature can be trusted, from 0 to below 1, by the sizes of the grades and not by a fixed count.
+
+    z is the largest difference, in standard errors, between the documents of one
+    grade that have the feature and those expected from its share of all grades.
+    """
+    docs = len(grades)
+    share = np.bincount(slots, minlength=size) / docs
+    most = np.zeros(size)
+    for grade in range(GRADES):
+        own = grades == grade
+        k = int(own.sum())
+        spread = k * (1 - k / docs) * share * (1 - share)
+        off = np.bincount(slots[own[owner]], minlength=size) - k * share
+        most = np.maximum(most, np.divide(off ** 2, spread, out=np.zeros(size), where=spread > 0))
+    return (most / (most + DOUBT)).astype(np.float32)
+
+
 def learn(slots: np.ndarray, owner: np.ndarray, values: np.ndarray, grades: np.ndarray,
           population: np.ndarray, turns: int = TURNS) -> Model:
     """Maximum likelihood with an L2 penalty by Adam over the whole sample.
 
+    Values are scaled by the features' relevance, so that the penalty shrinks what few documents tell.
     Rows weigh so that the grades count as in the ``population``, not as in the sample.
     """
     docs, size, cuts = len(grades), 1 << TABLE_BITS, GRADES - 1
@@ -137,7 +158,10 @@ def learn(slots: np.ndarray, owner: np.ndarray, values: np.ndarray, grades: np.n
     keep = common[slots]
     used = np.flatnonzero(common)
     slots = (np.cumsum(common, dtype=np.int32) - 1)[slots[keep]]
-    owner, values = owner[keep], values[keep]
+    owner = owner[keep]
+    relevance = _relevance(slots, owner, grades, len(used))
+    values = values[keep]
+    values *= relevance[slots]
     del keep
     share = np.bincount(grades, minlength=GRADES)
     weight = (population / np.maximum(share, 1))[grades]
@@ -168,7 +192,7 @@ def learn(slots: np.ndarray, owner: np.ndarray, values: np.ndarray, grades: np.n
         w -= step[:len(used)]
         free -= step[len(used):]
     weights = np.zeros(size)
-    weights[used] = w
+    weights[used] = w * relevance
     return Model(weights, free[0] + np.concatenate([[0], np.cumsum(np.exp(free[1:]))]))
 
 

@@ -146,6 +146,23 @@ def test_quality(spark, data_dir, documents, plain):
     assert quality.score(documents.limit(0), model).count() == 0 == quality.keep(documents.limit(0), model).count()
 
 
+def test_quality_of_documents_left_out(spark, data_dir):
+    """Each quarter of the labels at sf0.01 is judged by a model of the other three."""
+    docs = spark.read.parquet(f"{data_dir}/../sf0.01/documents.parquet")
+    graded = quality.grades(spark.read.parquet(f"{data_dir}/../sf0.01/labels.parquet"))
+    kept, every = np.zeros(3), np.zeros(3)
+    for quarter in range(4):
+        own = F.pmod(F.xxhash64(F.lit("quarter"), "doc_id"), F.lit(4)) == quarter
+        model = quality.fit(docs, graded.where(~own))
+        left_out = graded.where(own).withColumnRenamed("grade", "given")
+        for r in quality.score(docs, model).join(left_out, "doc_id").select("given", "kept").collect():
+            kept[r["given"]] += r["kept"]
+            every[r["given"]] += 1
+    assert every.sum() == graded.join(docs, "doc_id").count()
+    shares = kept / every
+    assert shares[0] < 0.45 and shares[1] < 0.1 and shares[2] > 0.97, shares
+
+
 def fill(budget, nodes):
     """nodes: name -> (weight, capacity). The level is raised step by step."""
     given, left = {}, dict(nodes)
