@@ -187,3 +187,11 @@ def test_links_of_a_group_do_not_grow_with_its_square():
     for a, b in found:
         parent[root(a)] = root(b)
     assert len({root(x) for x in parent}) == 1
+
+
+def test_two_texts_under_one_doc_id(spark):
+    """Only the near copy goes, not the other text of its doc_id."""
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, text), (2, text + " more"), (2, "another text that is like none of them")]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([rows[0], rows[2]])
