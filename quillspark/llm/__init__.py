@@ -5,5 +5,7 @@
 ``token_files``  token ids in Parquet list columns         ``packing``   configuration LP packing
 ``quality``      ordinal cumulative-link classifier        ``language``  segmentation-marginalised language id
 ``ngram_lm``     weighted backoff automaton                ``codes``     rotated one-bit nearest neighbours
+``merkle``       Merkle manifest over intervals        ``negatives``   hard negatives by segment summaries
+``licenses``     positional index of rare words
 ``queries``      the registered queries and their oracle SQL
 """

@@ -58,13 +58,14 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and for each document its first word."""
+def words(data: np.ndarray, offsets: np.ndarray,
+          space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and for each document its first word; ``space`` tells what is between words."""
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    word = ~SPACE[data]
+    word = ~space[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     fresh = edge[:n].copy()
