@@ -239,7 +239,9 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay, all columns; of rows with the same doc_id and text one stays."""
     text = F.sha2(F.encode(normalised(text_of(docs)), "utf-8"), 256)
     kept = (duplicate_groups(docs).where("kept")
-            .select(_key(F.col("doc_id")).alias("_key"), F.col("text_sha256").alias("_sha")))
-    rows = docs.withColumn("_key", _key(docs["doc_id"])).withColumn("_sha", text)
+            .select(_key(F.col("doc_id")).alias("key"), F.col("text_sha256").alias("sha")))
+    # the document in a struct of its own: its columns may have any names
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), _key(docs["doc_id"]).alias("key"),
+                       text.alias("sha"))
     # repeated rows share key and hash: the smallest survives, without a sort of the texts
-    return rows.join(kept, ["_key", "_sha"], "left_semi").dropDuplicates(["_key", "_sha"]).select(*docs.columns)
+    return rows.join(kept, ["key", "sha"], "left_semi").dropDuplicates(["key", "sha"]).select("doc.*")

@@ -34,7 +34,11 @@ Weights = dict[tuple[str, ...], float]
 
 
 def token_count(docs: DataFrame) -> Column:
-    return F.regexp_count(text_of(docs), F.lit(WORD)).cast("long")
+    return tokens_in(text_of(docs))
+
+
+def tokens_in(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD)).cast("long")
 
 
 def _weight(path: list[str], weights: Weights) -> Column:
@@ -121,18 +125,18 @@ def cuts(docs: DataFrame, levels: dict[str, Column], weights: Weights, share: fl
                    .withColumn("cut", F.coalesce("part_cut", "full_cut")).drop("full_cut", "part_cut", "rest"))
 
 
-def select(docs: DataFrame, levels: dict[str, Column], weights: Weights, share: float, epochs: int, seed: int,
-           columns: list[Column]) -> DataFrame:
-    """``columns`` of the chosen documents, one row for each epoch (from 0) that takes them.
+def select(docs: DataFrame, levels: dict[str, Column], weights: Weights, share: float, epochs: int,
+           seed: int) -> DataFrame:
+    """The chosen documents, one row for each epoch (from 0) that takes them: doc, leaf, budget, epoch.
 
+    ``doc`` holds all columns of the document and ``leaf`` its levels, so no name can clash.
     The texts are not shuffled unless the table of leaves is too large to send along.
     """
-    names = [f"_{name}" for name in levels]
-    leaf = cuts(docs, levels, weights, share, epochs, seed)
-    leaf = leaf.select(*[F.col(c).alias(f"_{c}") for c in levels], F.col("budget").alias("_budget"),
-                       F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
-    marked = docs.select("*", *[c.alias(f"_{name}") for c, name in zip(_named(docs, levels), levels)])
-    taken = F.col("_whole") + F.when(_order(seed, F.col("_whole")) <= F.col("_cut"), 1).otherwise(0)
-    return (marked.join(leaf, names).withColumn("_taken", taken.cast("int")).where("_taken > 0")
-            .withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_taken") - 1)))
-            .select(*columns))
+    names = list(levels)
+    found = cuts(docs, levels, weights, share, epochs, seed)
+    found = found.select(F.struct(*names).alias("leaf"), "budget", "whole", "cut")
+    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"],
+                         F.struct(*_named(docs, levels)).alias("leaf"))
+    taken = F.col("whole") + F.when(_order(seed, F.col("whole")) <= F.col("cut"), 1).otherwise(0)
+    return (marked.join(found, "leaf").withColumn("taken", taken.cast("int")).where("taken > 0")
+            .select("doc", "leaf", "budget", F.explode(F.sequence(F.lit(0), F.col("taken") - 1)).alias("epoch")))

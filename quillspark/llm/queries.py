@@ -38,10 +38,9 @@ LANGUAGE_WEIGHTS = {(f"domain{i}", "en"): 2.0 for i in range(4)}
 
 def op3_mixture(spark: SparkSession, root: str) -> DataFrame:
     docs = read(spark, root, "documents")
-    return mixing.select(docs, domains(docs), LANGUAGE_WEIGHTS, 0.6, 2, 20240519, [
-        F.col("doc_id"), F.col("_domain").alias("domain"), F.col("_lang").alias("lang"),
-        F.col("_source").alias("source"), F.col("_epoch").alias("epoch"), F.col("_budget").alias("leaf_budget"),
-        mixing.token_count(docs).alias("tokens")])
+    return mixing.select(docs, domains(docs), LANGUAGE_WEIGHTS, 0.6, 2, 20240519).select(
+        "doc.doc_id", "leaf.domain", "leaf.lang", "leaf.source", "epoch", F.col("budget").alias("leaf_budget"),
+        mixing.tokens_in(F.col("doc.text")).alias("tokens"))
 
 
 def op4_token_files(spark: SparkSession, root: str, tokenizer: str | None = None) -> DataFrame:

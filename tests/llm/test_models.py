@@ -182,9 +182,8 @@ def fill(budget, nodes):
 def test_mixture_equals_brute_force(documents, plain, share, epochs):
     levels = {"lang": F.col("lang"), "source": F.col("source")}
     weights = {("en",): 3.0, ("en", "src1"): 2.0}
-    columns = [F.col("doc_id"), F.col("_lang"), F.col("_source"), F.col("_epoch"), F.col("_budget")]
     got = collections.Counter(tuple(map(str, r)) for r in mixing.select(
-        documents, levels, weights, share, epochs, 9, columns).collect())
+        documents, levels, weights, share, epochs, 9).select("doc.doc_id", "leaf.*", "epoch", "budget").collect())
     count = {i: len(tokens(t)) - 1 for i, (_, t, *_) in enumerate(plain)}
     leaf = [(lang or "unknown", source or "unknown") for _, _, lang, source in plain]
     cap = collections.Counter()
@@ -218,4 +217,13 @@ def test_mixture_equals_brute_force(documents, plain, share, epochs):
 
 
 def test_mixture_of_nothing(documents):
-    assert mixing.select(documents.limit(0), {"lang": F.col("lang")}, {}, 0.5, 1, 1, [F.col("doc_id")]).count() == 0
+    assert mixing.select(documents.limit(0), {"lang": F.col("lang")}, {}, 0.5, 1, 1).count() == 0
+
+
+def test_mixture_keeps_columns_of_any_name(spark):
+    names = ["_lang", "_source", "_whole", "_cut", "_taken", "_epoch", "leaf", "doc", "budget", "whole"]
+    docs = spark.range(40).selectExpr("id as doc_id", "'one two' as text", "'en' as lang",
+                                      *[f"concat('{n}', id) as {n}" for n in names])
+    got = mixing.select(docs, {"lang": F.col("lang")}, {}, 1.0, 1, 1).select("doc.*")
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
