@@ -97,11 +97,11 @@ _QUERIES = (op1_backoff_lm, op2_nearest_codes, op3_mixture, op4_token_files, op5
 
 ORACLE_SQL = {
     "op2_nearest_codes": """
-        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-             s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
-                   FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+        WITH v AS (SELECT vec_id, row_number() OVER () AS row, embedding::DOUBLE[] AS e FROM embeddings),
+             s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+                   FROM v q JOIN v c ON c.row <> q.row WHERE q.vec_id % 20 = 0)
         SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
-        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        WINDOW w AS (PARTITION BY row ORDER BY score DESC, vec_id)
         QUALIFY row_number() OVER w <= 20""",
     "op10_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm

@@ -75,21 +75,40 @@ def test_nearest_equals_brute_force(spark):
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         by.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert sorted(by) == list(range(0, 400, 20))
+    everyone = [*enumerate(vectors), (3, vectors[3])]
     for q, found in by.items():
-        scores = [(-sum(float(a) * float(b) for a, b in zip(vectors[i], vectors[q])), i) for i in range(400) if i != q]
+        scores = [(-sum(float(a) * float(b) for a, b in zip(v, vectors[q])), i) for i, v in everyone if i != q]
         want = sorted((round(s, 9), i) for s, i in scores)[:20]
         assert [i for i, _ in found] == [i for _, i in want]
         assert [s for _, s in found] == pytest.approx([-s for s, _ in want])
 
 
+def test_repeated_ids_and_few_candidates(spark):
+    """Rows that share a vec_id with the query or each other are candidates; fewer than k give all."""
+    rows = [(0, [1.0, 0.0, 0.0]), (0, [0.5, 0.0, 0.0]), (1, [0.5, 1.0, 0.0]), (1, [0.9, 0.0, 1.0]), (2, [-1.0, 2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = codes.nearest(df, F.col("key") == 0, 20).collect()
+    want = []
+    for i, (q, v) in enumerate(rows):
+        if q == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), c) for j, (c, w) in enumerate(rows) if j != i)
+            want += [(0, n, c, -s) for n, (s, c) in enumerate(scored, 1)]
+    assert sorted(tuple(r) for r in got) == sorted(want) and len(got) == 8
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(2)
-    vectors, queries = rng.standard_normal((3000, 64)), rng.standard_normal((20, 64))
-    index = codes.Index(np.arange(3000), vectors, vectors.mean(axis=0))
-    moved = queries - index.centre
-    middle = (moved @ codes.rotation(64)) @ index.codes + index.base + (queries @ index.centre)[:, None]
-    off = np.abs(middle - queries @ vectors.T) / (index.error * np.linalg.norm(moved, axis=1)[:, None])
-    assert (off <= 1).mean() > 0.998 and index.bits.shape == (3000, 8)
+    for dim in (64, 70):
+        vectors, queries = rng.standard_normal((3000, dim)), rng.standard_normal((20, dim))
+        centre = vectors.mean(axis=0)
+        words, length, own = codes.encode(vectors, centre)
+        assert words.shape == (3000, -(-dim // 64)) and words.dtype == np.uint64
+        index = codes.Index(np.arange(3000), np.arange(3000), vectors, words, length, own, centre)
+        off = []
+        for q in queries:
+            middle, slack = index.bounds(q)
+            off.append(np.abs(middle - vectors @ q) / slack)
+        assert (np.array(off) <= 1).mean() > 0.998 and np.median(off) < 0.4
 
 
 def test_forward_sums_all_segmentations():
