@@ -5,9 +5,11 @@ A document is one row, so all cutting happens inside the row: no shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,8 +65,8 @@ def join_pages(pages: DataFrame, batch: int = P.PAGE_BATCH) -> DataFrame:
 
 def _heading(line: Column) -> Column:
     return F.struct(
-        F.length(F.regexp_extract(line, r"^(#{1,4}) ", 1)).alias("level"),
-        X.strip(F.regexp_extract(line, r"^#{1,4} (.*)$", 1)).alias("title"))
+        F.length(F.regexp_extract(line, P.HEADING, 1)).alias("level"),
+        X.strip(F.regexp_extract(line, P.HEADING, 2)).alias("title"))
 
 
 def heading_levels(lines: DataFrame) -> DataFrame:
@@ -72,18 +74,73 @@ def heading_levels(lines: DataFrame) -> DataFrame:
     return lines.withColumn("level", h["level"]).withColumn("title", h["title"])
 
 
+def _fence(line: Column) -> Column:
+    """What a line does to fences: 1 opens or closes one of backticks, 2 only closes it (a fence that ends in
+    its own line opens none), 3 is one of tildes, 0 none."""
+    mark = F.regexp_extract(line, P.FENCE, 1)
+    return (F.when(mark == "~~~", 3).when(mark == "", 0)
+            .when(F.regexp_extract(line, P.FENCE, 2).contains("```"), 2).otherwise(1))
+
+
+def _after(state: Column, mark: Column) -> Column:
+    """The state after a fence line: 0 outside, 1 inside backticks, 2 inside tildes."""
+    return (F.when(state == 0, F.when(mark == 1, 1).when(mark == 3, 2).otherwise(0))
+            .when(state == 1, F.when(mark < 3, 0).otherwise(1))
+            .otherwise(F.when(mark == 3, 0).otherwise(2)))
+
+
+def _fence_states(lines: DataFrame, block: int) -> DataFrame:
+    """(doc_id, blk, before, marks) of the blocks of documents with fences.
+
+    A block is a function from the state before it to the state after it. The functions
+    are composed over the blocks of a document, so no task folds all its lines.
+    """
+    kind = _fence(F.col("line"))
+    marks = (lines.select("doc_id", "pos", F.floor(F.col("pos") / block).alias("blk"), kind.alias("kind"))
+             .filter("kind > 0").groupBy("doc_id", "blk")
+             .agg(F.sort_array(F.collect_list(F.struct("pos", "kind"))).alias("marks")))
+    ends = marks.withColumn("ends", F.array(*[
+        F.aggregate("marks", F.lit(n), lambda state, m: _after(state, m["kind"])) for n in range(3)]))
+    # one small row per block that has fences
+    chains = ends.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("blk", "ends"))).alias("chain"),
+                                        F.max("blk").alias("last"))
+    known = chains.select("doc_id", F.explode(F.transform("chain", lambda c, i: F.struct(
+        c["blk"].alias("blk"), F.aggregate(F.slice("chain", 1, i), F.lit(0), lambda state, x: F.get(x["ends"], state))
+        .alias("before"), F.get(c["ends"], F.aggregate(
+            F.slice("chain", 1, i), F.lit(0), lambda state, x: F.get(x["ends"], state))).alias("after")))).alias("c"))
+    return known.select("doc_id", "c.*").join(marks, ["doc_id", "blk"])
+
+
+def outside_fences(lines: DataFrame, block: int = 4096) -> DataFrame:
+    """``lines`` (doc_id, pos, line) with ``open``: whether the line can be a heading."""
+    from pyspark.sql import Window as W
+
+    states = _fence_states(lines, block)
+    blocks = lines.select("doc_id", F.floor(F.col("pos") / block).alias("blk")).distinct()
+    so_far = W.partitionBy("doc_id").orderBy("blk").rowsBetween(W.unboundedPreceding, -1)
+    # blocks without fences are in the state that the last one with fences left
+    placed = (blocks.join(states.select("doc_id", "blk", "after", "marks"), ["doc_id", "blk"], "left")
+              .withColumn("before", F.coalesce(F.last("after", True).over(so_far), F.lit(0)))
+              .select("doc_id", "blk", "before", "marks"))
+    earlier = F.filter("marks", lambda m: m["pos"] < F.col("pos"))
+    state = F.when(F.col("marks").isNull(), F.col("before")).otherwise(
+        F.aggregate(earlier, F.col("before"), lambda state, m: _after(state, m["kind"])))
+    return (lines.withColumn("blk", F.floor(F.col("pos") / block)).join(placed, ["doc_id", "blk"])
+            .withColumn("open", state == 0).drop("blk", "before", "marks"))
+
+
 def heading_path(lines: DataFrame, block: int = 4096) -> DataFrame:
     """(doc_id, pos, line) -> the same lines with the heading path in force at each.
 
-    A running maximum of (pos, title) per level carries headings forward. It is
-    taken in blocks of lines first and then over one summary row per block, so a
-    document with very many lines never sits in a single sort.
+    Headings may be indented, and none stands inside a fence. A running maximum of (pos, title)
+    per level carries headings forward. It is taken in blocks of lines first and then over one
+    summary row per block, so a document with very many lines never sits in a single sort.
     """
     from pyspark.sql import Window as W
 
     lv = range(1, 5)
-    tagged = heading_levels(lines).withColumn("blk", F.floor(F.col("pos") / block))
-    marks = [F.when(F.col("level") == n, F.struct("pos", "title")) for n in lv]
+    tagged = heading_levels(outside_fences(lines, block)).withColumn("blk", F.floor(F.col("pos") / block))
+    marks = [F.when(F.col("open") & (F.col("level") == n), F.struct("pos", "title")) for n in lv]
     tagged = tagged.select("doc_id", "pos", "line", "blk",
                            *[m.alias(f"m{n}") for n, m in zip(lv, marks)])
     inside = (W.partitionBy("doc_id", "blk").orderBy("pos")
@@ -110,78 +167,136 @@ def path_text(parts: Column) -> Column:
     return F.when(F.size(parts) > 0, F.array_join(parts, " > ")).otherwise(P.DEFAULT_PATH)
 
 
+_MARK = re.compile(r"^[ \t]*(?:(#{1,4}) ([^\n]*)|(```|~~~)([^\n]*))", re.M)
+
+
+def cut_sections(text: str) -> list[tuple[str, str]]:
+    """(path, content) of the sections of a text, cut in front of every heading outside fences; linear."""
+    heads: list[tuple[int, int, str]] = []
+    fence = None
+    for m in _MARK.finditer(text):
+        if m[3] and fence is None:
+            fence = None if m[3] == "```" and "```" in m[4] else m[3]
+        elif m[3]:
+            fence = None if m[3] == fence else fence
+        elif fence is None:
+            heads.append((m.start(), len(m[1]), m[2].strip(P.SPACES)))
+    if not heads or heads[0][0] > 0:
+        heads.insert(0, (0, 0, ""))
+    ends = [start - 1 for start, _, _ in heads[1:]] + [len(text)]
+    titles: list[str | None] = [None] * 4
+    found = []
+    for (start, level, title), end in zip(heads, ends):
+        if level:
+            titles[level - 1:] = [title] + [None] * (4 - level)
+        own = [x for x in titles if x is not None]
+        found.append((" > ".join(own) if own else P.DEFAULT_PATH, text[start:end]))
+    return found
+
+
 def sections(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, section_no, path, content), headings kept in the content.
 
-    The text is split in front of every heading; one fold over the headings of
-    the row yields the path of each section.
+    A null text has no section.
     """
-    parts = F.split("text", r"\n(?=#{1,4} )")
-    heads = F.transform(F.col("parts"), lambda s: _heading(F.regexp_extract(s, r"^[^\n]*", 0)))
-    none = F.lit(None).cast("string")
-    start = F.struct(*[none.alias(f"h{n}") for n in range(1, 5)],
-                     F.array().cast("array<string>").alias("paths"))
-
-    def step(acc, h):
-        new = []
-        for n in range(1, 5):
-            new.append(F.when(h["level"] == n, h["title"])
-                       .when((h["level"] > 0) & (h["level"] < n), none)
-                       .otherwise(acc[f"h{n}"]))
-        path = path_text(F.array_compact(F.array(*new)))
-        return F.struct(*[c.alias(f"h{n}") for n, c in zip(range(1, 5), new)],
-                        F.concat(acc["paths"], F.array(path)).alias("paths"))
-
-    paths = F.aggregate(heads, start, step, lambda acc: acc["paths"])
-    split = docs.select("doc_id", parts.alias("parts"))
-    zipped = split.select("doc_id", F.posexplode(F.arrays_zip(F.col("parts"), paths.alias("paths")))
-                          .alias("section_no", "x"))
-    return zipped.select("doc_id", "section_no", F.col("x.paths").alias("path"),
-                         F.col("x.parts").alias("content"))
-
-
-def _split_keep(text: str, seps: list[str], size: int) -> list[str]:
-    """Pieces no longer than ``size``, cut at the coarsest separator that works."""
-    if len(text) <= size:
-        return [text]
-    sep = next((s for s in seps if s and s in text), "")
-    if not sep:
-        return [text[i:i + size] for i in range(0, len(text), size)]
-    rest = seps[seps.index(sep) + 1:]
-    raw = text.split(sep)
-    pieces = [raw[0]] + [sep + p for p in raw[1:]]
-    out: list[str] = []
-    for piece in pieces:
-        out.extend(_split_keep(piece, rest, size) if len(piece) > size else [piece])
-    return [p for p in out if p]
+    schema = T.StructType([docs.schema["doc_id"],
+                           *T.StructType.fromDDL("section_no INT, path STRING, content STRING").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            at, numbers, paths, contents = [], [], [], []
+            for i, text in enumerate(rows.column(1).to_pylist()):
+                cut = [] if text is None else cut_sections(text)
+                at += [i] * len(cut)
+                numbers += range(len(cut))
+                paths += [p for p, _ in cut]
+                contents += [c for _, c in cut]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0).take(pa.array(at, pa.int64())), pa.array(numbers, pa.int32()),
+                 pa.array(paths, pa.string()), pa.array(contents, pa.string())], names=schema.names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+#: Coarse to fine; the last cuts anywhere.
+SEPARATORS = ("\n\n", "\n", " ", "")
+Span = tuple[int, int]
+
+
+def _bounds(text: str, span: Span, sep: str) -> list[Span]:
+    """The pieces of a span, each but the first beginning with the separator."""
+    a, b = span
+    cuts, at = [a], text.find(sep, a, b)
+    while at >= 0:
+        if at > a:
+            cuts.append(at)
+        at = text.find(sep, at + len(sep), b)
+    return list(zip(cuts, [*cuts[1:], b]))
+
+
+def _merged(pieces: list[Span], size: int, overlap: int) -> list[Span]:
+    """Neighbouring pieces joined up to ``size``; what the next one takes over is at most ``overlap`` long."""
+    out: list[Span] = []
+    first = 0
+    for i, (start, end) in enumerate(pieces):
+        if i > first and end - pieces[first][0] > size:
+            out.append((pieces[first][0], start))
+            while first < i and (start - pieces[first][0] > overlap or end - pieces[first][0] > size):
+                first += 1
+    if pieces:
+        out.append((pieces[first][0], pieces[-1][1]))
+    return out
+
+
+def _anywhere(span: Span, size: int, overlap: int) -> list[Span]:
+    """``_merged`` over single characters."""
+    a, b = span
+    out = []
+    while b - a > size:
+        out.append((a, a + size))
+        a += size - min(overlap, size - 1)
+    return [*out, (a, b)]
+
+
+def _level(text: str, span: Span, level: int, size: int, overlap: int) -> list[Span]:
+    """Cut a span at the coarsest separator in it. Pieces that fit are merged among themselves; one that
+    does not is cut at the finer separators, and its parts are merged there."""
+    level = next(i for i in range(level, len(SEPARATORS)) if text.find(SEPARATORS[i], *span) >= 0)
+    if not SEPARATORS[level]:
+        return _anywhere(span, size, overlap)
+    out: list[Span] = []
+    fitting: list[Span] = []
+    for piece in _bounds(text, span, SEPARATORS[level]):
+        if piece[1] - piece[0] < size:
+            fitting.append(piece)
+            continue
+        out += _merged(fitting, size, overlap) + _level(text, piece, level + 1, size, overlap)
+        fitting = []
+    return out + _merged(fitting, size, overlap)
 
 
 def merge_pieces(text: str, size: int, overlap: int) -> list[str]:
-    """Chunks of at most ``size`` characters with up to ``overlap`` carried over."""
-    chunks: list[str] = []
-    window: list[str] = []
-    length = 0
-    for piece in _split_keep(text, ["\n\n", "\n", " "], size):
-        if window and length + len(piece) > size:
-            chunks.append("".join(window))
-            while window and (length > overlap or length + len(piece) > size):
-                length -= len(window.pop(0))
-        window.append(piece)
-        length += len(piece)
-    if window:
-        chunks.append("".join(window))
-    return [c for c in (c.strip() for c in chunks) if c]
+    """Chunks of at most ``size`` characters, every level of separators merged on its own."""
+    spans = _level(text, (0, len(text)), 0, size, overlap) if text else []
+    return [c for c in (text[a:b].strip() for a, b in spans) if c]
 
 
 def recursive_chunk_array(size: int = P.CHUNK_SIZE, overlap: int = P.CHUNK_OVERLAP):
-    """Arrow-batched column function: separator-aware chunks of a text."""
+    """Column function: separator-aware chunks of a text. Only texts longer than ``size`` go to Python."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(lambda x: merge_pieces(x, size, overlap) if x else [])
 
-    return cut
+    def chunks(c) -> Column:
+        text = F.col(c) if isinstance(c, str) else c
+        whole = X.strip(text)
+        long = F.length(text) > size
+        return (F.when(long, cut(F.when(long, text)))
+                .when(F.length(whole) > 0, F.array(whole)).otherwise(F.array().cast("array<string>")))
+
+    return chunks
 
 
 def recursive_chunks(docs: DataFrame, size: int = P.CHUNK_SIZE,

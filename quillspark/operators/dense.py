@@ -4,15 +4,16 @@ Distances are computed by NumPy on Arrow batches. Every task keeps only the best
 rows per query, so pairs are never materialised:
 
 * a query table below ``broadcast_bytes`` (measured) is broadcast and the
-  vectors stay where they are, read by few long tasks so that few partial
-  results per query are left to merge;
+  vectors stay where they are;
 * a bigger one is laid out with the vectors on a grid of equal hash blocks, and
   each grid cell is one bounded group, whatever the keys look like.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -238,32 +239,94 @@ def knn_cells(queries: DataFrame, base: DataFrame, centres: np.ndarray, k: int =
 
 # --- embedding -----------------------------------------------------------
 
-def embed(df: DataFrame, text_col: str, fn: Callable[[list[str]], list[list[float]]],
-          out: str = "v", batch: int = P.EMBED_BATCH, tries: int = P.EMBED_TRIES) -> DataFrame:
-    """Add vectors from a batch function ``fn(texts) -> vectors``, retried ``tries`` times."""
-    schema = StructType(df.schema.fields
-                        + StructType.fromDDL(f"{out} ARRAY<FLOAT>").fields)
+@dataclass(frozen=True)
+class Embedder:
+    """A batch function ``fn(texts) -> vectors`` and how a task may call it.
 
-    def call(texts: list[str]) -> list[list[float]]:
-        for attempt in range(tries):
+    A call takes at most ``batch`` texts. After each one the task pauses, and after a
+    failure it waits, twice as long each time. ``fn`` may be a hosted service.
+    """
+
+    fn: Callable[[list[str]], list[list[float]]]
+    batch: int = P.EMBED_BATCH
+    tries: int = P.EMBED_TRIES
+    pause: float = 0.0
+    backoff: float = 0.0
+    sleep: Callable[[float], None] = time.sleep
+
+    def call(self, texts: list[str]) -> list[list[float]]:
+        """Vectors of at most ``batch`` texts; the last failure is raised."""
+        for attempt in range(self.tries):
             try:
-                return fn(texts)
+                found = self.fn(texts)
+                if len(found) != len(texts):
+                    raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
+                if self.pause:
+                    self.sleep(self.pause)
+                return found
             except Exception:
-                if attempt == tries - 1:
+                if attempt == self.tries - 1:
                     raise
+                if self.backoff:
+                    self.sleep(self.backoff * 2**attempt)
         return []
 
+    def vectors(self, texts: list[str]) -> tuple[list, list[str | None]]:
+        """Vectors and errors; a batch that fails is halved until the texts at fault stand alone."""
+        try:
+            return list(self.call(texts)), [None] * len(texts)
+        except Exception as e:
+            if len(texts) == 1:
+                return [None], [f"{type(e).__name__}: {e}"[:200]]
+        half = len(texts) // 2
+        left, right = self.vectors(texts[:half]), self.vectors(texts[half:])
+        return left[0] + right[0], left[1] + right[1]
+
+
+def embed(df: DataFrame, text_col: str, fn: Callable[[list[str]], list[list[float]]],
+          out: str = "v", batch: int = P.EMBED_BATCH, tries: int = P.EMBED_TRIES) -> DataFrame:
+    """Add vectors from a batch function ``fn(texts) -> vectors``, retried ``tries`` times."""
+    schema = StructType(df.schema.fields
+                        + StructType.fromDDL(f"{out} ARRAY<FLOAT>").fields)
+    service = Embedder(fn, batch, tries)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [str(x) for x in pdf[text_col]]
             vecs: list = []
             for lo in range(0, len(texts), batch):
-                vecs.extend(call(texts[lo:lo + batch]))
+                vecs.extend(service.call(texts[lo:lo + batch]))
             yield pdf.assign(**{out: vecs})
 
     return df.mapInPandas(run, schema)
 
 
+def embed_or_fail(df: DataFrame, text_col: str, embedder: Embedder, out: str = "v",
+                  error: str = "error") -> DataFrame:
+    """Add vectors, and for rows that can't be embedded an error instead; no row ends the job.
+
+    A null text is such a row.
+    """
+    schema = StructType(df.schema.fields
+                        + StructType.fromDDL(f"{out} ARRAY<FLOAT>, {error} STRING").fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            texts = rows.column(text_col).to_pylist()
+            vecs: list = [None] * len(texts)
+            errors: list[str | None] = ["no text"] * len(texts)
+            at = [i for i, x in enumerate(texts) if x is not None]
+            for lo in range(0, len(at), embedder.batch):
+                part = at[lo:lo + embedder.batch]
+                for i, v, e in zip(part, *embedder.vectors([texts[i] for i in part])):
+                    vecs[i], errors[i] = v, e
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns, pa.array(vecs, pa.list_(pa.float32())), pa.array(errors, pa.string())],
+                names=[*rows.schema.names, out, error])
+
+    return df.mapInArrow(run, schema)
+
+
 def hash_embed(df: DataFrame, text_col: str, dim: int = 256, out: str = "v") -> DataFrame:
     """Offline embedding: hashed term counts weighted by idf, unit length; no Python."""
     from pyspark.ml.feature import IDF, HashingTF, Normalizer

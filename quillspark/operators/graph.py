@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import jsonx as J
 from ..functions import text as X
+from ..session import written
 from ..sources.schemas import TRIPLE_JSON
 
 
@@ -66,6 +69,73 @@ def neighbours(edges: DataFrame) -> DataFrame:
     ))).distinct()
 
 
+GRAM = 2
+
+
+@dataclass
+class NameIndex:
+    """names (name, links): the links a name takes part in; grams (gram, pos, name) of one and of ``GRAM``
+    characters, with the place where each stands (from 1); counts (gram, n)."""
+
+    names: DataFrame
+    grams: DataFrame
+    counts: DataFrame
+
+
+def _grams(text: Column, size: int) -> Column:
+    """(pos, gram) of all grams of a text."""
+    places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(
+        F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(i.alias("pos"), F.substring(text, i, size).alias("gram")))
+
+
+def name_index(links: DataFrame) -> NameIndex:
+    """The positional gram index over the names in ``links`` (source, value, target), written once."""
+    names = written(links.select(F.explode(F.array_distinct(F.array("source", "target"))).alias("name"))
+                    .groupBy("name").agg(F.count("*").alias("links")))
+    both = F.concat(_grams(F.col("name"), 1), _grams(F.col("name"), GRAM))
+    grams = written(names.select("name", F.inline(both)).select("gram", "pos", "name"))
+    return NameIndex(names, grams, written(grams.groupBy("gram").agg(F.count("*").alias("n"))))
+
+
+def token_names(tokens: DataFrame, index: NameIndex) -> DataFrame:
+    """Distinct (token, name) where the name contains the token.
+
+    A token is looked up by its rarest gram; a name that has it must hold the whole token at the
+    place that the gram's own place tells. A gram that is nowhere ends a token at once.
+    """
+    asked = tokens.select("token").filter(F.length("token") > 0).distinct()
+    size = F.when(F.length("token") < GRAM, _grams(F.col("token"), 1)).otherwise(_grams(F.col("token"), GRAM))
+    parts = asked.select("token", F.size(size).alias("parts"), F.inline(size)).withColumnRenamed("pos", "off")
+    rarest = (parts.join(index.counts, "gram").groupBy("token", "parts")
+              .agg(F.count("*").alias("found"), F.min(F.struct("n", "off", "gram")).alias("r"))
+              .filter("found = parts").select("token", F.col("r.gram").alias("gram"), F.col("r.off").alias("off")))
+    start = F.col("pos") - F.col("off") + 1
+    return (index.grams.join(rarest, "gram")
+            .filter((start >= 1) & (F.substring(F.col("name"), start, F.length("token")) == F.col("token")))
+            .select("token", "name").distinct())
+
+
+def context_classes(queries: DataFrame, tokens: DataFrame, index: NameIndex) -> tuple[DataFrame, DataFrame]:
+    """What the links around a query's words are, without a row for every pair of query and link.
+
+    First (qid, token): a query's tokens that stand for a class of names, null for a query without any.
+    Then the classes of these tokens: (token, name, links), a class being the names that contain the
+    token. ``expand`` turns both into the links themselves.
+    """
+    classes = written(token_names(tokens, index))
+    member = tokens.select("qid", "token").distinct().join(classes.select("token").distinct(), "token", "left_semi")
+    none = queries.select("qid").join(member.select("qid").distinct(), "qid", "left_anti")
+    members = member.select("qid", "token").unionByName(none.withColumn("token", F.lit(None).cast("string")))
+    return members, classes.join(index.names, "name").select("token", "name", "links")
+
+
+def expand(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Distinct (qid, source, value, target): every link of every name in a class of a query's tokens."""
+    names = members.join(classes.select("token", "name"), "token").select("qid", "name").distinct()
+    return mentions(names, links)
+
+
 def _substrings(name: Column, lengths: Column) -> Column:
     per_length = F.transform(lengths, lambda n: F.when(
         F.length(name) >= n,

@@ -10,6 +10,7 @@ from .. import params as P
 from ..functions import jsonx as J
 from ..functions import text as X
 from ..functions.arrays import stable_hash
+from ..session import written
 from ..sources.schemas import QUIZ_JSON
 from .ranking import global_rank, sample_n, top_n
 
@@ -86,16 +87,16 @@ def unanswered(users: DataFrame, questions: DataFrame, answers: DataFrame,
     blocks that are not full, up to the point where they yield ``n`` on their
     own, and the first blocks nothing was answered in.
     """
-    ranked = (global_rank(questions.select(F.col("id").alias("question_id")), "question_id", seed)
-              .withColumn("blk", F.floor((F.col("rank") - 1) / block)))
-    seen = answers.select("user_id", "question_id").distinct().join(ranked, "question_id")
+    # each of these three feeds several branches
+    ranked = written(global_rank(questions.select(F.col("id").alias("question_id")), "question_id", seed)
+                     .withColumn("blk", F.floor((F.col("rank") - 1) / block)))
+    seen = written(answers.select("user_id", "question_id").distinct().join(ranked, "question_id"))
     per_block = seen.groupBy("user_id", "blk").agg(F.count("*").alias("a"))
     sizes = ranked.groupBy("blk").agg(F.count("*").alias("size"))
     by_block = W.partitionBy("user_id").orderBy("blk")
-    state = (per_block.join(sizes, "blk").withColumn("open", F.col("size") - F.col("a"))
-             .withColumn("open_before", F.coalesce(F.sum("open").over(
-                 by_block.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-             .withColumn("nth", F.row_number().over(by_block) - 1))
+    state = written(per_block.join(sizes, "blk").withColumn("open", F.col("size") - F.col("a"))
+                    .withColumn("open_before", F.coalesce(F.sum("open").over(
+                        by_block.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))))
     part_open = (state.filter((F.col("open") > 0) & (F.col("open_before") < n))
                  .select("user_id", "blk"))
     # untouched blocks: gaps in the sequence of touched ones, then what follows the last

@@ -34,19 +34,22 @@ class SparseIndex:
     mean_idf: float
 
 
-def build_postings(docs: DataFrame, tokenizer=None) -> DataFrame:
-    """(id, text) -> (term, id, tf, dl).
+def build_postings(docs: DataFrame, tokenizer=None, keep: tuple[str, ...] = (), mark: bool = False) -> DataFrame:
+    """(id, text) -> (term, id, tf, dl) and the columns to ``keep``.
 
     A document's tokens are sorted, joined and matched as runs of one repeated
     token, all inside its row: building the postings moves nothing between
-    tasks, and the counts follow from the lengths of the runs.
+    tasks, and the counts follow from the lengths of the runs. With ``mark``,
+    each document adds one row without a term, so that documents can be counted.
     """
-    toks = docs.select("id", F.sort_array(tokenize(F.col("text"), tokenizer)).alias("ts"))
+    toks = docs.select("id", *keep, F.sort_array(tokenize(F.col("text"), tokenizer)).alias("ts"))
     runs = F.regexp_extract_all(F.array_join("ts", SEP), F.lit(RUN), F.lit(0))
+    if mark:
+        runs = F.concat(F.coalesce(runs, F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
     term = F.substring_index("run", SEP, 1)
     tf = ((F.length("run") + 1) / (F.length(term) + 1)).cast("bigint")
-    return (toks.select("id", F.size("ts").alias("dl"), F.explode(runs).alias("run"))
-            .select(term.alias("term"), "id", tf.alias("tf"), "dl"))
+    return (toks.select("id", *keep, F.size("ts").alias("dl"), F.explode(runs).alias("run"))
+            .select(term.alias("term"), "id", tf.alias("tf"), "dl", *keep))
 
 
 def raw_idf(n: Column, df: Column) -> Column:
@@ -64,7 +67,8 @@ def summarise(postings: DataFrame, n_docs: int) -> SparseIndex:
 
 def build_index(docs: DataFrame, tokenizer=None) -> SparseIndex:
     """Index of (id, text). The postings are written once, then everything reads them."""
-    return summarise(written(build_postings(docs, tokenizer)), docs.count())
+    rows = written(build_postings(docs, tokenizer, mark=True))
+    return summarise(rows.filter(F.col("term").isNotNull()), rows.filter(F.col("term").isNull()).count())
 
 
 def extend_index(index: SparseIndex, docs: DataFrame, tokenizer=None) -> SparseIndex:

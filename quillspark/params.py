@@ -91,6 +91,8 @@ SPACES = (
 CONTROL_CHARS = r"[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f]"
 UNICODE_SPACE = r"(?U)\s+"
 BROKEN_LINE = r"([^.。：:；;!！?？>])\n+([^\n#*-])"
+HEADING = r"^[ \t]*(#{1,4}) ([^\n]*)"
+FENCE = r"^[ \t]*(```|~~~)([^\n]*)"
 CLAUSE = r"第[一-龥\p{Nd}]+条"
 MARKUP_OPEN = r"(?i)<\|?DSML\|?.*?>"
 MARKUP_CLOSE = r"(?i)</\|?DSML\|?.*?>"

@@ -54,7 +54,7 @@ def query(name: str, sql: str | None = None, ctes: tuple[str, ...] = ()):
 def _load() -> None:
     from . import (  # noqa: F401
         aggregates, changes, chunk_retrieval, filters, functions, joins, knowledge, retrieval, scans,
-        sessions, streams, topk)
+        sessions, streams, summaries, topk)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import changes as C
+from ..operators.partitioned import PartitionedState
 from . import derived as D
 from .catalog import query
 from .derived import stamp
+from .streams import folder
 
 
 @query("upsert_last_wins", """
@@ -27,6 +29,29 @@ def upsert_last_wins(t):
     return new.select("user_id", "event_type", "value")
 
 
+@query("merge_stored", """
+    SELECT user_id, event_type, value FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC)
+                AS rn
+      FROM (SELECT c_custkey AS user_id, 'view' AS event_type, c_acctbal AS value,
+                   TIMESTAMP '2024-01-10' AS ts, -1 AS event_id FROM customer
+            UNION ALL SELECT user_id, event_type, value, ts, event_id FROM events)) WHERE rn = 1
+    AND user_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""")
+def merge_stored(t):
+    """The same state as a table of 16 hash partitions: two change sets, then the removal of some users."""
+    state = PartitionedState(
+        t.spark, folder(t, "state"), "user_id BIGINT, event_type STRING, value DOUBLE, ts TIMESTAMP_NTZ, "
+        "event_id BIGINT", ("user_id", "event_type"), ("ts", "event_id"), 16, ("user_id",))
+    state.create(t.customer.select(F.col("c_custkey").alias("user_id"), F.lit("view").alias("event_type"),
+                                   F.col("c_acctbal").alias("value"), D.ntz("2024-01-10 00:00:00").alias("ts"),
+                                   F.lit(-1).cast("bigint").alias("event_id")))
+    changes = t.events.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    state.upsert(changes.filter("event_id % 2 = 0"))
+    state.upsert(changes.filter("event_id % 2 <> 0"))
+    state.delete(t.labels.filter("quality = 0").select(F.col("doc_id").alias("user_id")))
+    return state.read().select("user_id", "event_type", "value")
+
+
 @query("activate_exclusive", """
     SELECT c.id, c.config_type, c.model_name,
            CASE WHEN g.target IS NULL THEN c.is_active ELSE c.id = g.target END AS is_active

@@ -86,10 +86,12 @@ def pages_of(t) -> DataFrame:
 
 
 def md_text(t) -> DataFrame:
-    """Documents as Markdown: some lines become headings of level 1 to 3."""
+    """Documents as Markdown: some lines become headings of level 1 to 3, some indented, some of them in fences."""
     line = F.transform(
         F.split("text", "\n"),
-        lambda x, i: F.when(i % 7 == 0, F.concat(F.lit("# "), x))
+        lambda x, i: F.when(i % 11 == 2, F.lit("```")).when(i % 13 == 6, F.lit("~~~"))
+        .when(i % 7 == 0, F.concat(F.lit("# "), x))
+        .when(i % 14 == 3, F.concat(F.lit("  ## "), x))
         .when(i % 7 == 3, F.concat(F.lit("## "), x))
         .when(i % 7 == 5, F.concat(F.lit("### "), x))
         .otherwise(x))
@@ -279,12 +281,23 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "pages_of": ((), """
         SELECT doc_id, CAST(u.s // 500 AS INTEGER) AS page_no, substr(text, u.s + 1, 500) AS text
         FROM documents, UNNEST(range(0, length(text), 500)) AS u(s)"""),
-    "md_lines": ((), """
-        SELECT doc_id, CAST(u.i - 1 AS INTEGER) AS pos,
-               CASE (u.i - 1) % 7 WHEN 0 THEN '# ' WHEN 3 THEN '## ' WHEN 5 THEN '### ' ELSE '' END
-               || u.x AS line
-        FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) d,
-             UNNEST(d.ls) WITH ORDINALITY AS u(x, i)"""),
+    "md_lines": ((), r"""
+        SELECT doc_id, CAST(u.i - 1 AS INTEGER) AS pos, ls[u.i] AS line,
+               CASE WHEN list_reduce(list_prepend(0, kinds[:u.i - 1]), lambda s, k: CASE
+                      WHEN s = 0 THEN CASE k WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END
+                      WHEN s = 1 THEN CASE WHEN k IN (1, 2) THEN 0 ELSE 1 END
+                      ELSE CASE k WHEN 3 THEN 0 ELSE 2 END END) = 0
+                    THEN length(regexp_extract(ls[u.i], '^[ \t]*(#{1,4}) ', 1)) ELSE 0 END AS lv,
+               trim(regexp_extract(ls[u.i], '^[ \t]*#{1,4} (.*)$', 1)) AS title
+        FROM (SELECT doc_id, ls, list_transform(ls, lambda x: CASE
+                       WHEN regexp_matches(x, '^[ \t]*~~~') THEN 3 WHEN regexp_matches(x, '^[ \t]*```.*```') THEN 2
+                       WHEN regexp_matches(x, '^[ \t]*```') THEN 1 ELSE 0 END) AS kinds
+              FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: CASE
+                             WHEN (i - 1) % 11 = 2 THEN '```' WHEN (i - 1) % 13 = 6 THEN '~~~'
+                             WHEN (i - 1) % 7 = 0 THEN '# ' || x WHEN (i - 1) % 14 = 3 THEN '  ## ' || x
+                             WHEN (i - 1) % 7 = 3 THEN '## ' || x WHEN (i - 1) % 7 = 5 THEN '### ' || x
+                             ELSE x END) AS ls FROM documents)) d,
+             UNNEST(range(1, len(ls) + 1)) AS u(i)"""),
     "queries_txt": ((), "SELECT item_id AS qid, text FROM benchmark"),
     "queries_both": ((), """
         SELECT b.item_id AS qid, b.text, e.embedding AS v

@@ -86,31 +86,53 @@ def graph_links(t):
     WHERE substr(source_id, 1, 1) NOT IN ('0','1','2','3','4')""", ("edges",))
 def edge_insert_if_absent(t):
     """Edges of some sources are in the table already; the extraction brings every edge, twice."""
-    _, edges = graph_tables(t)
+    edges = written(G.edges(G.valid_triples(D.raw_triples(t))))
     existing = edges.filter(F.substring("source_id", 1, 1).isin("0", "1", "2", "3", "4"))
     return G.insert_absent(existing, edges.unionByName(edges), G.EDGE_KEY)
 
 
-@query("graph_context", """
-    tok AS (SELECT DISTINCT qid, u.x AS token FROM queries_txt,
-              UNNEST(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS u(x)),
-    links AS (SELECT a.name AS source, e.relation AS value, b.name AS target
-              FROM edges e JOIN nodes a ON e.source_id = a.node_id
-              JOIN nodes b ON e.target_id = b.node_id),
-    names AS (SELECT source AS name FROM links UNION SELECT target FROM links),
-    hit AS (SELECT DISTINCT qid, name FROM tok JOIN names ON contains(name, token)),
-    lines AS (SELECT DISTINCT qid, source || ' -' || value || '-> ' || target AS line
-              FROM hit JOIN links ON hit.name = links.source OR hit.name = links.target)
-    SELECT qid, line FROM lines
-    UNION ALL SELECT qid, '暂无图谱逻辑关联' FROM queries_txt
-    WHERE qid NOT IN (SELECT qid FROM lines)""".replace("tok AS", "WITH tok AS", 1),
-       ("queries_txt", "nodes", "edges"))
-def graph_context(t):
-    return graph_lines(D.queries_txt(t), stored_links(t))
+D.add_ctes(
+    g_links=(("nodes", "edges"), """
+        SELECT a.name AS source, e.relation AS value, b.name AS target
+        FROM edges e JOIN nodes a ON e.source_id = a.node_id JOIN nodes b ON e.target_id = b.node_id"""),
+    g_names=(("g_links",), """
+        SELECT name, count(*) AS links FROM (
+          SELECT source AS name, * FROM g_links UNION SELECT target, * FROM g_links) GROUP BY name"""),
+    g_tokens=(("queries_txt",), r"""
+        SELECT DISTINCT qid, u.x AS token FROM queries_txt,
+               UNNEST(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS u(x)"""),
+    g_classes=(("g_tokens", "g_names"), """
+        SELECT token, name, links FROM (SELECT DISTINCT token FROM g_tokens) JOIN g_names ON contains(name, token)"""),
+    g_members=(("g_tokens", "g_classes"), """
+        SELECT qid, token FROM g_tokens WHERE token IN (SELECT token FROM g_classes)"""),
+)
 
 
-def graph_lines(q, links):
-    return G.context_lines(q, written(G.matched_names(query_tokens(q), links)), links)
+@query("graph_context", """
+    SELECT 'member' AS part, qid, token, NULL AS name, NULL AS links FROM g_members
+    UNION ALL SELECT 'none', qid, NULL, NULL, NULL FROM queries_txt WHERE qid NOT IN (SELECT qid FROM g_members)
+    UNION ALL SELECT 'class', NULL, token, name, links FROM g_classes""", ("queries_txt", "g_members", "g_classes"))
+def graph_context(t):
+    """Queries by the classes of names their words stand for, and each class once."""
+    members, classes = graph_classes(D.queries_txt(t), stored_links(t))
+    part = F.when(F.col("token").isNull(), "none").otherwise("member")
+    return (members.withColumn("part", part).unionByName(classes.withColumn("part", F.lit("class")), True)
+            .select("part", "qid", "token", "name", "links"))
+
+
+@query("graph_context_links", """
+    SELECT m.qid, count(DISTINCT (l.source, l.value, l.target)) AS links
+    FROM g_members m JOIN g_classes c ON c.token = m.token
+    JOIN g_links l ON c.name = l.source OR c.name = l.target GROUP BY m.qid""", ("g_members", "g_classes", "g_links"))
+def graph_context_links(t):
+    """The links around every query, counted from the expanded classes."""
+    links = stored_links(t)
+    members, classes = graph_classes(D.queries_txt(t), links)
+    return G.expand(members, classes, links).groupBy("qid").agg(F.count("*").alias("links"))
+
+
+def graph_classes(q, links):
+    return G.context_classes(q, query_tokens(q), G.name_index(links))
 
 
 def query_tokens(q):

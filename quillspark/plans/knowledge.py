@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import params as P
+from ..functions import text as X
 from ..operators import chunking as K
 from ..operators import dense as DN
 from ..operators import graph as G
@@ -38,17 +40,16 @@ def page_join(t):
 
 
 @query("md_sections", r"""
-    WITH h AS (SELECT *, length(regexp_extract(line, '^(#{1,4}) ', 1)) AS lv FROM md_lines),
-    s AS (SELECT *, sum(CASE WHEN lv > 0 AND pos > 0 THEN 1 ELSE 0 END)
-                      OVER (PARTITION BY doc_id ORDER BY pos) AS section_no FROM h),
+    WITH s AS (SELECT *, sum(CASE WHEN lv > 0 AND pos > 0 THEN 1 ELSE 0 END)
+                      OVER (PARTITION BY doc_id ORDER BY pos) AS section_no FROM md_lines),
     sec AS (SELECT doc_id, section_no, min(pos) AS pos,
                    string_agg(line, chr(10) ORDER BY pos) AS content,
-                   min_by(line, pos) AS head, min_by(lv, pos) AS lv FROM s GROUP BY doc_id, section_no),
+                   min_by(title, pos) AS title, min_by(lv, pos) AS lv FROM s GROUP BY doc_id, section_no),
     p AS (SELECT *, max(CASE WHEN lv = 1 THEN section_no END) OVER w AS p1,
                  max(CASE WHEN lv = 2 THEN section_no END) OVER w AS p2,
                  max(CASE WHEN lv = 3 THEN section_no END) OVER w AS p3
           FROM sec WINDOW w AS (PARTITION BY doc_id ORDER BY section_no)),
-    tt AS (SELECT doc_id, section_no, trim(regexp_extract(head, '^#{1,4} (.*)$', 1)) AS title FROM sec)
+    tt AS (SELECT doc_id, section_no, title FROM sec)
     SELECT p.doc_id, CAST(p.section_no AS INTEGER) AS section_no, p.content,
            coalesce(nullif(concat_ws(' > ', a.title,
              CASE WHEN p.p2 > coalesce(p.p1, -1) THEN b.title END,
@@ -71,9 +72,26 @@ def chunk_recursive(t):
     return K.recursive_chunks(t.texts.select("doc_id", "text"))
 
 
+@query("chunk_recursive_shape", r"""
+    SELECT doc_id, length(text) > 0 AS cut, true AS fits, true AS inside, true AS complete
+    FROM (SELECT doc_id, """ + strip_sql("text") + r""" AS text FROM documents) WHERE text IS NOT NULL""")
+def chunk_recursive_shape(t):
+    """What must hold of any cut: sizes, order of the ends, chunks that are parts of the text, nothing left out."""
+    rows = t.texts.where("text is not null").select("doc_id", X.strip(F.col("text")).alias("text"),
+                                                    K.recursive_chunk_array()("text").alias("cs"))
+    bare = F.regexp_replace("text", P.UNICODE_SPACE, "")
+    length = F.aggregate("cs", F.lit(0), lambda n, c: n + F.length(F.regexp_replace(c, P.UNICODE_SPACE, "")))
+    ends = F.col("text").startswith(F.get("cs", F.lit(0))) & F.col("text").endswith(F.element_at("cs", -1))
+    return rows.select(
+        "doc_id", (F.size("cs") > 0).alias("cut"),
+        F.forall("cs", lambda c: F.length(c).between(1, P.CHUNK_SIZE)).alias("fits"),
+        F.forall("cs", lambda c: F.col("text").contains(c)).alias("inside"),
+        ((F.size("cs") == 0) | (ends & (length >= F.length(bare)))).alias("complete"))
+
+
+CLAUSED = "CASE WHEN doc_id % 2 = 0 THEN '依据第' || doc_id || '条规定 ' || text ELSE text END"
 CHUNK_BUILD = r"""
-    WITH c AS (SELECT doc_id, chunk_idx, """ + strip_sql("""
-             CASE WHEN doc_id % 2 = 0 THEN '依据第' || doc_id || '条规定 ' || text ELSE text END""") + r"""
+    WITH c AS (SELECT doc_id, chunk_idx, """ + strip_sql(CLAUSED) + r"""
              AS text FROM chunks)
     SELECT doc_id, chunk_idx, '通用正文' AS path, clause,
            '【章节】: 通用正文 | 【' || clause || '】' || chr(10) || text AS text

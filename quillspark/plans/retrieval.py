@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..operators import blockmax as BM
 from ..operators import dense as DN
 from ..operators import history as H
 from ..operators import hybrid as HY
+from ..operators import pqcells as PQ
 from ..operators import sparse as S
 from ..session import written
 from . import derived as D
 from .catalog import query
-from .joins import graph_lines, stored_links
+from .joins import graph_classes, stored_links
+from .streams import folder
 
 # Oracle building blocks
 D.add_ctes(
@@ -99,7 +102,15 @@ def bm25_scores(t):
 
 @query("bm25_top20", "SELECT qid, id, score, rank FROM bm25_20", ("bm25_20",))
 def bm25_top20(t):
-    r = S.bm25_top(S.build_index(corpus(t)), D.queries_txt(t), P.SPARSE_K)
+    """From stored blocks."""
+    r = BM.top(BM.store(corpus(t), folder(t, "blocks")), D.queries_txt(t), P.SPARSE_K)
+    return r.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("bm25_pruned_top20", "SELECT qid, id, score, rank FROM bm25_20", ("bm25_20",))
+def bm25_pruned_top20(t):
+    """The same where bounds decide which blocks are read, whatever the size of the lists."""
+    r = BM.top(BM.store(corpus(t), folder(t, "blocks")), D.queries_txt(t), P.SPARSE_K, direct_rows=0)
     return r.withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -118,33 +129,29 @@ def knn_l2_top40(t):
     return r.select("qid", "id", "dist", F.col("rank").cast("bigint").alias("rank"))
 
 
-#: Of 16 cells; k-means cells of these vectors are no tight clusters, so most must be probed for a recall of 0.9.
-IVF_PROBE = 11
-
-
-def ivf(t, probe):
-    base = D.doc_vectors(t).select("id", "v")
-    centres = DN.fit_cells(base, 16)
-    # the cells are counted and read: assign them once
-    return DN.knn_cells(D.queries_both(t), written(DN.assign_cells(base, centres)), centres, probe=probe)
-
-
 @query("knn_ivf")
 def knn_ivf(t):
-    return ivf(t, IVF_PROBE)
+    base, path = written(D.doc_vectors(t).select("id", "v")), folder(t, "cells")
+    model = PQ.fit(base, 16)
+    PQ.store(base, model, path)
+    return PQ.search(D.queries_both(t), t.spark, path, model)
 
 
 @query("knn_ivf_all_cells", "SELECT qid, id, dist, rank FROM knn", ("knn",))
 def knn_ivf_all_cells(t):
-    """With every cell probed the result is exact."""
-    return ivf(t, 16).select("qid", "id", "dist", F.col("rank").cast("bigint").alias("rank"))
+    """With every cell probed and no codes the result is exact."""
+    base = D.doc_vectors(t).select("id", "v")
+    centres = DN.fit_cells(base, 16)
+    # the cells are counted and read: assign them once
+    r = DN.knn_cells(D.queries_both(t), written(DN.assign_cells(base, centres)), centres, probe=16)
+    return r.select("qid", "id", "dist", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("knn_ivf_recall", "SELECT true AS enough")
 def knn_ivf_recall(t):
-    """Whether the cells that are probed by default hold at least nine tenths of the exact neighbours."""
+    """Whether the stored cells give at least nine tenths of the exact neighbours."""
     exact = DN.knn(D.queries_both(t), D.doc_vectors(t), P.DENSE_K).select("qid", "id")
-    both = exact.join(ivf(t, IVF_PROBE).select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
+    both = exact.join(knn_ivf(t).select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
     return both.agg((F.count("hit") >= F.count("*") * 0.9).alias("enough"))
 
 
@@ -163,6 +170,29 @@ def hash_embed_shape(t):
         "id", F.size("v").alias("dim"), (F.abs(square - 1) < 1e-3).alias("unit"))
 
 
+class Refused(Exception):
+    """What the stand-in for a hosted service raises."""
+
+
+def service(texts: list[str]) -> list[list[float]]:
+    """Two numbers per text; refuses a whole call for one bad text in it."""
+    if any(len(x) % 7 == 3 for x in texts):
+        raise Refused("a text of this length")
+    return [[float(len(x)), 1.0] for x in texts]
+
+
+@query("embed_dead_letters", """
+    SELECT doc_id AS id, CASE WHEN text IS NULL THEN 'no text' WHEN length(text) % 7 = 3 THEN 'refused' ELSE 'embedded'
+           END AS outcome, CASE WHEN length(text) % 7 <> 3 THEN length(text)::DOUBLE END AS first FROM documents""")
+def embed_dead_letters(t):
+    """A service that fails for some texts: these rows carry an error, all others their vector."""
+    rows = DN.embed_or_fail(corpus(t), "text", DN.Embedder(service, tries=2))
+    return rows.select("id", F.when(F.col("error") == "no text", "no text")
+                       .when(F.col("error").startswith("Refused"), "refused")
+                       .when(F.col("error").isNull(), "embedded").otherwise(F.col("error")).alias("outcome"),
+                       F.get("v", F.lit(0)).cast("double").alias("first"))
+
+
 def candidates(t):
     return HY.hybrid_candidates(D.queries_both(t), D.doc_vectors(t))
 
@@ -226,47 +256,43 @@ def final_docs(t):
     return written(HY.apply_rerank(D.queries_both(t), c, written(rerank_scores(t, c))))
 
 
-@query("rerank_or_fallback", """
-    SELECT qid, pos, id, status FROM final
-    UNION ALL SELECT qid, 0, -1, 'fallback' FROM queries_both
+@query("rerank_or_fallback", f"""
+    SELECT qid, pos, id, status, '' AS answer FROM final
+    UNION ALL SELECT qid, 0, -1, 'fallback', '{P.FALLBACK_ANSWER}' FROM queries_both
     WHERE qid NOT IN (SELECT qid FROM final)""", ("final",))
 def rerank_or_fallback(t):
-    return final_docs(t).select("qid", F.col("pos").cast("bigint").alias("pos"),
-                                F.coalesce("id", F.lit(-1)).cast("bigint").alias("id"), "status")
-
-
-@query("context_block", """
-    WITH tok AS (SELECT DISTINCT qid, u.x AS token FROM queries_both,
-                   UNNEST(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS u(x)),
-    links AS (SELECT a.name AS source, e.relation AS value, b.name AS target
-              FROM edges e JOIN nodes a ON e.source_id = a.node_id
-              JOIN nodes b ON e.target_id = b.node_id),
-    names AS (SELECT source AS name FROM links UNION SELECT target FROM links),
-    hit AS (SELECT DISTINCT qid, name FROM tok JOIN names ON contains(name, token)),
-    lines AS (SELECT DISTINCT qid, source || ' -' || value || '-> ' || target AS line
-              FROM hit JOIN links ON hit.name = links.source OR hit.name = links.target),
-    tail AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS back
+    final = final_docs(t)
+    return final.join(HY.answers(final), "qid", "left").select(
+        "qid", F.col("pos").cast("bigint").alias("pos"), F.coalesce("id", F.lit(-1)).cast("bigint").alias("id"),
+        "status", F.coalesce("answer", F.lit("")).alias("answer"))
+
+
+@query("context_block", r"""
+    WITH tail AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS back
              FROM msgs),
     hist AS (SELECT CAST(substr(session_id, 2) AS BIGINT) AS qid,
                     string_agg(CASE WHEN role = 'user' THEN '用户' ELSE '助手' END || ': ' || content,
                                chr(10) ORDER BY turn) AS history
              FROM tail WHERE back <= 8 GROUP BY session_id),
-    ok AS (SELECT DISTINCT qid FROM final)
+    ok AS (SELECT DISTINCT qid FROM final),
+    used AS (SELECT DISTINCT token FROM g_members WHERE qid IN (SELECT qid FROM ok))
     SELECT qid, '1_sources' AS part,
            string_agg('[资料' || pos || ']: ' || d.text, chr(10) ORDER BY pos) AS line
     FROM final f JOIN documents d ON d.doc_id = f.id GROUP BY qid
-    UNION ALL SELECT qid, '2_graph', line FROM lines WHERE qid IN (SELECT qid FROM ok)
+    UNION ALL SELECT qid, '2_graph', token FROM g_members WHERE qid IN (SELECT qid FROM ok)
     UNION ALL SELECT qid, '2_graph', '暂无图谱逻辑关联' FROM ok
-              WHERE qid NOT IN (SELECT qid FROM lines)
+              WHERE qid NOT IN (SELECT qid FROM g_members)
+    UNION ALL SELECT NULL, '2_graph_class', token || ': ' || name || ' (' || links || ')' FROM g_classes
+              WHERE token IN (SELECT token FROM used)
     UNION ALL SELECT qid, '3_history', history FROM hist WHERE qid IN (SELECT qid FROM ok)
     UNION ALL SELECT qid, '4_query', text FROM queries_both WHERE qid IN (SELECT qid FROM ok)
-    """, ("final", "nodes", "edges", "msgs", "queries_both"))
+    """, ("final", "g_members", "g_classes", "msgs", "queries_both"))
 def context_block(t):
     q = D.queries_both(t).select("qid", "text")
-    graph = graph_lines(q, stored_links(t))
+    members, classes = graph_classes(q, stored_links(t))
     history = H.transcripts(D.msgs(t)).select(
         F.expr("substring(session_id, 2)").cast("bigint").alias("qid"), "history")
-    return HY.evidence(q, final_docs(t), corpus(t), graph, history)
+    return HY.evidence(q, final_docs(t), corpus(t), members, classes, history)
 
 
 # --- cache ---------------------------------------------------------------

@@ -11,9 +11,10 @@ from ..functions import text as X
 from ..operators import changes as C
 from ..operators import chunking as K
 from ..session import checkpoint_dir
-from ..sources import io
+from ..sources import io, versions
 from . import derived as D
 from .catalog import query
+from .streams import folder
 
 
 @query("scan_documents", "SELECT doc_id, text, lang, source, n_chars FROM documents")
@@ -46,6 +47,42 @@ def read_text_fallback(t):
                         io.decode_text(F.col("content")).alias("text"))
 
 
+@query("read_text_files", r"""
+    SELECT doc_id // 50 AS file, doc_id // 50 % 2 = 1 AS gbk,
+           md5(string_agg(line, chr(10) ORDER BY doc_id) || chr(10)) AS digest
+    FROM (SELECT doc_id, '第' || doc_id || '条 ' || CASE WHEN doc_id // 50 % 2 = 1
+                   THEN regexp_replace(text, '[^\x00-\x7f]', '', 'g') ELSE text END AS line
+          FROM documents WHERE text IS NOT NULL) GROUP BY doc_id // 50""")
+def read_text_files(t):
+    """Documents stored as text files of 50, every other file in GBK, and read back file by file."""
+    path, file = folder(t, "files"), F.expr("doc_id div 50")
+    gbk = file % 2 == 1
+    text = F.when(gbk, F.regexp_replace("text", r"[^\x00-\x7f]", "")).otherwise(F.col("text"))
+    line = F.concat(F.lit("第"), F.col("doc_id").cast("string"), F.lit("条 "), text)
+    raw = F.when(gbk, F.encode(line, "GBK")).otherwise(F.encode(line, "UTF-8"))
+    io.allow_gbk(t.spark)
+    (t.documents.where("text is not null").select(file.alias("file"), "doc_id", raw.cast("string").alias("value"))
+     .repartition("file").sortWithinPartitions("file", "doc_id").select("file", "value")
+     .write.partitionBy("file").text(path))
+    number = F.regexp_extract("path", r"file=(\d+)/[^/]*$", 1).cast("bigint")
+    read = io.read_text_files(t.spark, path).select(number.alias("file"), "text")
+    return read.select("file", (F.col("file") % 2 == 1).alias("gbk"), F.md5("text").alias("digest"))
+
+
+@query("full_refresh", """
+    SELECT 0::BIGINT AS version, doc_id, quality::BIGINT AS quality FROM labels WHERE quality = 0
+    UNION ALL SELECT 1, doc_id, quality::BIGINT FROM labels""")
+def full_refresh(t):
+    """A table refreshed twice: a reader of the first version still has it, a new reader has the second."""
+    base, rows = folder(t, "refreshed"), t.labels.select("doc_id", F.col("quality").cast("bigint").alias("quality"))
+    first = versions.refresh(rows.filter("quality = 0"), base)
+    pinned = versions.read(t.spark, base, rows.schema, first)
+    second = versions.refresh(rows, base)
+    now = versions.read(t.spark, base, rows.schema)
+    return (pinned.withColumn("version", F.lit(first).cast("bigint"))
+            .unionByName(now.withColumn("version", F.lit(second).cast("bigint"))).select("version", "doc_id", "quality"))
+
+
 @query("route_by_ext", """
     SELECT id, ext, CASE WHEN ext NOT IN ('pdf','txt','docx','md') THEN 'rejected'
                          WHEN ext IN ('pdf','txt') THEN ext ELSE 'other' END AS route

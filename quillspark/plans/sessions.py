@@ -69,8 +69,7 @@ def history_live(t):
 
 
 @query("heading_path", r"""
-    WITH h AS (SELECT *, length(regexp_extract(line, '^(#{1,4}) ', 1)) AS lv,
-                      trim(regexp_extract(line, '^#{1,4} (.*)$', 1)) AS title FROM md_lines),
+    WITH h AS (SELECT * FROM md_lines),
     l AS (SELECT doc_id, pos, line,
             max(CASE WHEN lv = 1 THEN pos END) OVER w AS p1, max(CASE WHEN lv = 2 THEN pos END) OVER w AS p2,
             max(CASE WHEN lv = 3 THEN pos END) OVER w AS p3

@@ -10,22 +10,31 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import chunking as K
+from ..operators.dense import Embedder
 from ..session import checkpoint_dir
-from ..streaming import counters, sinks, stateful
+from ..streaming import cachelog, counters, ingest, keyed, sinks
 from . import derived as D
 from .catalog import query
+from .knowledge import CHUNK_BUILD, CLAUSED
 from .sessions import GAPS
 
+#: The oracle's chunks of a plain document, before the even ones are given a clause.
+CHUNKED = CHUNK_BUILD.replace(CLAUSED, "text")
+
 
 def folder(t, name: str) -> str:
     return f"{checkpoint_dir(t.spark)}/{t.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def replay(t, df: DataFrame) -> DataFrame:
+def replay(t, df: DataFrame, files_per_batch: int | None = None) -> DataFrame:
     """The rows of a table, stored in the shared folder, as a stream of its files."""
     path = folder(t, "replayed")
     df.write.parquet(path)
-    return t.spark.readStream.schema(df.schema).parquet(path)
+    stream = t.spark.readStream.schema(df.schema)
+    if files_per_batch:
+        stream = stream.option("maxFilesPerTrigger", files_per_batch)
+    return stream.parquet(path)
 
 
 def drain(t, stream: DataFrame, mode: str) -> DataFrame:
@@ -78,7 +87,9 @@ def stream_unique_uploads(t):
            max_by(data, seq) FILTER (WHERE type = 'sources') AS sources
     FROM frames GROUP BY stream_id HAVING count(*) FILTER (WHERE type = 'done') > 0""", ("frames",))
 def stream_assemble_answer(t):
-    return drain(t, stateful.assemble_answers(replay(t, D.frames(t))), "append")
+    minute = F.timestamp_seconds(F.col("stream_id").cast("bigint") * 60 + F.col("seq"))
+    return drain(t, keyed.assemble_answers(replay(t, D.frames(t).withColumn("ts", minute)), lateness="400000 days"),
+                 "append")
 
 
 @query("stream_history_size", GAPS + """
@@ -91,7 +102,7 @@ def stream_history_size(t):
     e = t.events.select(F.col("user_id").cast("string").alias("session_id"),
                         F.col("ts").cast("timestamp").alias("ts"),
                         F.col("event_id").alias("order_no"), F.col("event_type").alias("content"))
-    seen = drain(t, stateful.bounded_history(replay(t, e), lateness="400 days"), "update")
+    seen = drain(t, keyed.bounded_history(replay(t, e), lateness="400 days"), "update")
     # an update with the same newest message may only grow
     return seen.groupBy("session_id").agg(F.max(F.struct("last_order", "size")).alias("m")).select(
         "session_id", F.col("m.size").alias("size"))
@@ -103,11 +114,68 @@ def stream_history_size(t):
              row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) rn
       FROM events) WHERE rn = 1""")
 def stream_cache_put(t):
-    """The cache as a log of puts, read as the last put of every key."""
+    """The cache as a log of puts in eight batches, compacted twice on the way."""
     puts = t.events.select(
         F.md5(F.concat_ws("|", F.col("user_id").cast("string"), "event_type")).alias("key"),
-        "event_id", "value", "ts")
+        "event_id", "value", F.col("ts").cast("timestamp_ntz").alias("ts"))
     log, version = folder(t, "cache-log"), ["ts", "event_id"]
-    sinks.log_cache_puts(replay(t, puts), log, folder(t, "progress"), version).awaitTermination()
-    stored = "key STRING, event_id BIGINT, value DOUBLE, ts TIMESTAMP_NTZ"
-    return sinks.read_cache(t.spark, log, stored, version).select("key", "event_id", "value")
+    schema = "key STRING, event_id BIGINT, value DOUBLE, ts TIMESTAMP_NTZ"
+    cachelog.log_puts(replay(t, puts.repartition(8), 1), log, folder(t, "progress"), schema, ["key"], version,
+                      every=3).awaitTermination()
+    return cachelog.read(t.spark, log, schema, ["key"], version).select("key", "event_id", "value")
+
+
+# --- ingest --------------------------------------------------------------
+
+def lengths(texts: list[str]) -> list[list[float]]:
+    """Stands in for a hosted model; refuses chunks of some lengths."""
+    if any(len(x) % 401 == 7 for x in texts):
+        raise ValueError("refused")
+    return [[float(len(x)), float(x.count(" "))] for x in texts]
+
+
+def cut_fixed(docs: DataFrame) -> DataFrame:
+    pieces = K.fixed_chunks(docs).withColumn("path", F.lit(None).cast("string"))
+    return K.build_chunks(pieces).select(
+        "doc_id", F.lit(0).alias("section_no"), F.col("chunk_idx").alias("piece_no"),
+        F.col("chunk_idx").cast("string").alias("chunk_idx"), "path", "clause", "text")
+
+
+@query("stream_ingest", """
+    WITH u AS (SELECT *, lower(string_split(filename, '.')[-1]) AS ext,
+                      row_number() OVER (PARTITION BY filename ORDER BY upload_time, id) AS nth FROM docs),
+    k AS (""" + CHUNKED + r"""),
+    bad AS (SELECT DISTINCT doc_id FROM k WHERE length(text) % 401 = 7),
+    n AS (SELECT doc_id, count(*) AS chunks FROM k GROUP BY doc_id),
+    w AS (SELECT doc_id, count(*) AS postings FROM (SELECT DISTINCT doc_id, chunk_idx, u.x FROM k,
+            UNNEST(regexp_extract_all(regexp_replace(text, '(\p{Han})', ' \1 ', 'g'), '[\p{L}\p{N}]+')) AS u(x))
+          GROUP BY doc_id),
+    s AS (SELECT id, filename, CASE WHEN nth > 1 THEN 'refused'
+                   WHEN ext NOT IN ('txt', 'md') OR id % 17 = 5 OR content IS NULL OR contains(content, '�')
+                     OR id IN (SELECT doc_id FROM bad) THEN 'failed'
+                   WHEN id IN (SELECT doc_id FROM n) THEN 'ready' ELSE 'empty' END AS state FROM u)
+    SELECT CAST(id AS VARCHAR) AS path, filename, state,
+           CASE WHEN state = 'ready' THEN n.chunks ELSE 0 END AS chunk_count,
+           CASE WHEN state = 'ready' THEN n.chunks ELSE 0 END AS vectors,
+           CASE WHEN state = 'ready' THEN coalesce(w.postings, 0) ELSE 0 END AS postings,
+           state IN ('failed', 'refused') AS quarantined
+    FROM s LEFT JOIN n ON n.doc_id = s.id LEFT JOIN w ON w.doc_id = s.id""", ("docs", "chunks"))
+def stream_ingest(t):
+    """All documents as uploaded files, some unreadable or named twice, through one transactional ingest."""
+    content = F.when(F.col("id") % 17 == 5, F.unhex(F.lit("FFFF"))).otherwise(F.encode("content", "UTF-8"))
+    files = D.docs(t).select("filename", F.col("id").cast("string").alias("path"),
+                             F.col("upload_time").cast("timestamp").alias("uploaded"), content.alias("content"))
+    base = folder(t, "ingested")
+    ingest.ingest(replay(t, files), base, folder(t, "progress"), Embedder(lengths, tries=1),
+                  cut=cut_fixed).awaitTermination()
+    status, name = ingest.read(t.spark, base, "status"), F.col("doc_id").alias("filename")
+    per_file = (ingest.read(t.spark, base, "vectors").groupBy(name).agg(F.count("*").alias("vectors")))
+    terms = (ingest.read(t.spark, base, "postings").groupBy(F.substring_index("id", "#", 1).alias("filename"))
+             .agg(F.count("*").alias("postings")))
+    held = ingest.read(t.spark, base, "quarantine").select("path", F.lit(True).alias("held"))
+    ready = F.col("state") == "ready"
+    return (status.join(per_file, "filename", "left").join(terms, "filename", "left").join(held, "path", "left")
+            .select("path", "filename", "state", "chunk_count",
+                    F.when(ready, F.col("vectors")).otherwise(0).alias("vectors"),
+                    F.when(ready, F.coalesce("postings", F.lit(0))).otherwise(0).alias("postings"),
+                    F.coalesce("held", F.lit(False)).alias("quarantined")))

@@ -362,6 +362,30 @@ def test_graph_build(spark):
     assert rows(G.links(edges, gone)) == [("b", "r", "b")]
 
 
+def test_classes_expand_to_the_links(spark):
+    import random
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("ab三四 .") for _ in range(n))
+    links = [(word(r.randint(1, 9)), "r", word(r.randint(1, 9))) for _ in range(120)] + [("aa", "r", "aa")]
+    df = spark.createDataFrame(sorted(set(links)), "source string, value string, target string")
+    tokens = [(q, word(r.randint(1, 4))) for q in range(40) for _ in range(3)] + [(50, "nowhere"), (51, ""), (52, "a")]
+    tk = spark.createDataFrame(tokens, "qid long, token string")
+    q = tk.select("qid").distinct()
+    members, classes = G.context_classes(q, tk, G.name_index(df))
+    names = {n for s, _, t in links for n in (s, t)}
+    want = {(t, n) for _, t in tokens if t for n in names if t in n}
+    count = {n: sum(n in (s, t) for s, _, t in set(links)) for n in names}
+    assert {tuple(x) for x in classes.collect()} == {(t, n, count[n]) for t, n in want}
+    has = {t for t, _ in want}
+    own = {(qid, t) for qid, t in tokens if t in has}
+    assert {tuple(x) for x in members.collect()} == own | {(x.qid, None) for x in q.collect()
+                                                          if x.qid not in {i for i, _ in own}}
+    got = [tuple(x) for x in G.expand(members, classes, df).collect()]
+    full = {(qid, *link) for qid, t in tokens if t for link in set(links) if t in link[0] or t in link[2]}
+    assert len(got) == len(set(got)) and set(got) == full
+
+
+
 def test_mentions_brute(spark):
     links = [("red light", "r", "fine"), ("drunk", "r", "red card"), ("x", "y", "z"), ("red", "q", "red")]
     tokens = [(1, "red"), (1, "card"), (2, "fin"), (3, "nothing"), (4, "x")]
