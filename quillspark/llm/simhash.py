@@ -13,12 +13,14 @@ tasks of their own; no pair is left out.
 
 ``near_groups`` is the query's contract: three words, 3 bits. ``drop_near_duplicates`` is
 the pipeline's stage: five words and a Jaccard similarity of ``SIMILAR`` or more. Pairs that
-similar differ in far more bits, so the ring is wide there, and a pair that meets is only a
-candidate: sketches and then the texts themselves decide.
+similar differ in more bits than segments can be told apart by, so there the texts that meet share
+band keys of a min-hash signature; the ring filters these candidates, and the texts decide.
 
 Defined cases: null text is empty; a text without words has fingerprint zero,
 which is linked like any other; null doc_ids never name a component unless the
-component has no other; an empty table gives an empty result.
+component has no other; repeated rows share a fingerprint and a component (the
+stage keeps all rows of the document that stays); long texts are hashed in the
+row; other columns are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .components import components
-from .spans import LOWER, words
+from .spans import LOWER, mix, ragged, words
 from .tables import salted_left_join, text_of
 
 BITS = 64
@@ -44,14 +46,18 @@ SEED = 42
 # near copies of the pipeline: shingles of so many words, in common to at least this share
 WORDS = 5
 SIMILAR = 0.8
-# in sf0.1 no pair that similar differs in more than 14 bits
-WIDE = 15
+# differing bits of texts that similar: about 10 on average, three standard deviations more and a bit
+WIDE = 20
 WIDE_SEGMENTS = 16
-# candidates per fingerprint and key besides the spanning tree, nearest first
-NEIGHBOURS = 8
 # least hashes of a text; pairs whose sketches agree by less than LEAST_SHARE are not compared
 SKETCH = 64
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.625
+# values per band key: at a Jaccard of 0.8, 16 bands of 4 miss one pair in 5,000
+BAND = 4
+
+_random = np.random.default_rng(20240603)
+_FACTORS = _random.integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _random.integers(0, 2**63, SKETCH, dtype=np.uint64)
 
 
 def _shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -163,42 +169,11 @@ def _forest(left: np.ndarray, right: np.ndarray, start: int, distance: int) -> l
     return found
 
 
-def _nearest(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links of a minimum spanning forest and to the ``NEIGHBOURS`` nearest, none of more than ``distance`` bits.
-
-    The links of a group grow with its size, not with its square.
-    """
-    nodes = np.unique(prints)
-    n, far = len(nodes), BITS + 1
-    best, parent = np.full(n, far, np.int64), np.zeros(n, np.int64)
-    open_ = np.ones(n, bool)
-    found: set[tuple[int, int]] = set()
-    at = 0
-    for _ in range(n):
-        open_[at] = False
-        bits = np.bitwise_count(nodes[at] ^ nodes).astype(np.int64)
-        bits[at] = far
-        near = np.flatnonzero(bits <= distance)
-        if len(near):
-            if len(near) > NEIGHBOURS:
-                near = near[np.argsort(bits[near], kind="stable")[:NEIGHBOURS]]
-            found.update((min(at, j), max(at, j)) for j in near.tolist())
-        closer = open_ & (bits < best)
-        best[closer], parent[closer] = bits[closer], at
-        best[at] = far + 1
-        at = int(np.argmin(best))
-        if best[at] <= distance:
-            found.add((min(at, int(parent[at])), max(at, int(parent[at]))))
-    return [(int(nodes[a]), int(nodes[b])) for a, b in sorted(found)]
-
-
-def _link_rows(starts: list[int], distance: int, nearest: bool = False):
+def _link_rows(starts: list[int], distance: int):
     """Links among rows (task, mask, print, side) sorted by task; a task may span batches."""
     def links(prints: np.ndarray, sides: np.ndarray, mask: int) -> list[tuple[int, int]]:
         if len(prints) < 2:
             return []
-        if nearest:
-            return _nearest(prints, distance)
         left, right = prints[sides != 1], prints[sides != 0]
         return _forest(left, right, starts[mask], distance)
 
@@ -229,12 +204,8 @@ def _link_rows(starts: list[int], distance: int, nearest: bool = False):
     return run
 
 
-def links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK, segments: int = SEGMENTS,
-          nearest: bool = False) -> DataFrame:
-    """Spanning links (a, b) between distinct fingerprints (``print``) of at most ``distance`` differing bits.
-
-    With ``nearest`` the links of each key are those of ``_nearest``, for callers that check them further.
-    """
+def links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK, segments: int = SEGMENTS) -> DataFrame:
+    """Spanning links (a, b) between distinct fingerprints (``print``) of at most ``distance`` differing bits."""
     keys = ring_masks(distance, segments)
     masks = F.array(*[F.lit(m - (1 << 64) if m >= 1 << 63 else m) for _, m in keys])
     keyed = (prints.select("print", F.posexplode(masks).alias("mask", "bits"))
@@ -253,7 +224,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK, segme
                    F.expr("case when own = other then 2 when own < other then 0 else 1 end").alias("side")))
     tasks = plain.unionByName(hot)
     return (tasks.repartition("task").sortWithinPartitions("task").select("task", "mask", "print", "side")
-            .mapInArrow(_link_rows([s for s, _ in keys], distance, nearest), "a long, b long").distinct())
+            .mapInArrow(_link_rows([s for s, _ in keys], distance), "a long, b long").distinct())
 
 
 def near_groups(docs: DataFrame, size: int = 3, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
@@ -275,41 +246,128 @@ def near_groups(docs: DataFrame, size: int = 3, distance: int = DISTANCE, block:
                     F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
+def signature(hashed: np.ndarray) -> np.ndarray:
+    """The least value of a text's distinct shingle hashes under each of ``SKETCH`` mixings."""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashed), 1 << 12):
+        least = np.minimum(least, (hashed[i:i + (1 << 12), None] * _FACTORS + _SHIFTS).min(axis=0))
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """One key for every ``BAND`` values; texts of Jaccard s share one with probability s^BAND."""
+    keys = np.arange(1, SKETCH // BAND + 1, dtype=np.uint64)
+    for part in least.reshape(-1, BAND).T:
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + part)
+    return keys
+
+
 def _sketch_rows(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes, least = [], [], []
+            prints, sizes, keys, sketches = [], [], [], []
             for text in batch.column(2).to_pylist():
                 hashed = _shingle_hashes(text, size)
                 distinct = np.unique(hashed)
+                least = signature(distinct)
                 prints.append(_majority(hashed))
                 sizes.append(len(distinct))
-                least.append(distinct[:SKETCH].view(np.int64))
+                keys.append(band_keys(least).view(np.int64))
+                sketches.append(mix(least).astype(np.uint8).tobytes())
             yield pa.record_batch([batch.column(0), batch.column(1),
                                    pa.array(np.array(prints, np.uint64).view(np.int64), pa.int64()),
-                                   pa.array(sizes, pa.int32()), pa.array(least, pa.list_(pa.int64()))],
-                                  names=["node", "doc_id", "print", "shingles", "sketch"])
+                                   pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+                                   pa.array(sketches, pa.binary())],
+                                  names=["node", "doc_id", "print", "shingles", "keys", "sketch"])
     return run
 
 
-def _maybe_similar(similar: float):
-    """Of rows (a, b, shingles, sketch, other_shingles, other_sketch) the (a, b) that can be similar."""
-    def possible(n: int, left: np.ndarray, m: int, right: np.ndarray) -> bool:
-        if min(n, m) < similar * max(n, m):
-            return False
-        if not max(n, m):
-            return True
-        left, right = left.view(np.uint64), right.view(np.uint64)
-        union = np.union1d(left, right)[:SKETCH]
-        both = np.intersect1d(np.intersect1d(left, right, True), union, True)
-        return len(both) >= min(similar, LEAST_SHARE) * len(union)
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
+
+
+def _ring(differ: np.ndarray, distance: int, segments: int) -> np.ndarray:
+    """Whether from some segment all chains keep their budgets, the whole ring included."""
+    good = np.bitwise_count(differ) <= distance
+    at = np.flatnonzero(good)
+    kept = np.zeros(len(at), bool)
+    for start in range(segments):
+        kept |= within_ring(differ[at], start, distance, segments)
+    good[at] = kept
+    return good
+
 
+def _maybe_similar(similar: float, distance: int, segments: int):
+    """Of rows (a, b, shingles, sketch, print and the same of b) the (a, b) that can be similar."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [batch.column(i).to_pylist() for i in (2, 4)]
-            lists = [[x.values.to_numpy() for x in batch.column(i)] for i in (3, 5)]
-            good = [possible(*x) for x in zip(sizes[0], lists[0], sizes[1], lists[1])]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            n, m = [batch.column(i).to_numpy() for i in (2, 5)]
+            left, right = [_sketches(batch.column(i)) for i in (3, 6)]
+            good = (np.minimum(n, m) >= similar * np.maximum(n, m)) & (
+                (left == right).sum(axis=1) >= LEAST_SHARE * SKETCH)
+            differ = (batch.column(4).to_numpy() ^ batch.column(7).to_numpy()).view(np.uint64)
+            yield batch.select([0, 1]).filter(pa.array(good & _ring(differ, distance, segments)))
+    return run
+
+
+def _between_rows(similar: float, distance: int, segments: int):
+    """For tasks of outsiders (side 0) and all rows (side 1) of a key: links (a, b) that join components.
+
+    Candidates are told by sketch, size and ring; the shingle sets decide. A pair whose components are one by
+    then is not looked at, so a task gives fewer links than it has components, and no failing pair is a row.
+    """
+    def links(task: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        side, node, size = [task.column(c).to_numpy() for c in ("side", "node", "shingles")]
+        part = np.unique(task.column("label").to_numpy(), return_inverse=True)[1]
+        prints = task.column("print").to_numpy().view(np.uint64)
+        sketch = _sketches(task.column("sketch").combine_chunks())
+        lists = task.column("hashes").combine_chunks()
+        ids = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+        length = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = np.cumsum(length) - length
+        held = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        found: list[tuple[int, int]] = []
+        step = max(1, (1 << 23) // (SKETCH * max(1, len(right))))
+        for at in range(0, len(left), step):
+            own = left[at:at + step]
+            agree = (sketch[own][:, None, :] == sketch[right][None, :, :]).sum(axis=2, dtype=np.int16)
+            n, m = size[own][:, None], size[right][None, :]
+            good = ((agree >= LEAST_SHARE * SKETCH) & (np.minimum(n, m) >= similar * np.maximum(n, m))
+                    & (np.bitwise_count(prints[own][:, None] ^ prints[right][None, :]) <= distance))
+            for i in np.flatnonzero(good.any(axis=1)):
+                me = own[i]
+                others = right[good[i]]
+                others = others[part[others] != part[me]]
+                others = others[_ring(prints[me] ^ prints[others], distance, segments)]
+                if not len(others):
+                    continue
+                mine = ids[begin[me]:begin[me] + length[me]]
+                held[mine] = True
+                flat = held[ids[ragged(begin[others], length[others])]]
+                sums = np.concatenate([[0], np.cumsum(flat)])
+                over = np.cumsum(length[others])
+                both = sums[over] - sums[over - length[others]]
+                held[mine] = False
+                others = others[both >= similar * (length[me] + length[others] - both)]
+                for other in others:
+                    if part[other] != part[me]:
+                        found.append((int(node[me]), int(node[other])))
+                        part[part == part[other]] = part[me]
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(task: pa.Table) -> pa.Table:
+        return pa.table([pa.array(x) for x in links(task)], names=["a", "b"])
+    return run
+
+
+def _set_rows(size: int):
+    """The distinct shingle hashes of each text, in ascending order."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(_shingle_hashes(t, size)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
     return run
 
 
@@ -331,8 +389,20 @@ def _similar_rows(size: int, similar: float):
     """Of rows (a, b, text, other) the (a, b) whose texts are similar."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [jaccard(shingle_set(x.as_py(), size), shingle_set(y.as_py(), size)) >= similar
-                    for x, y in zip(batch.column(2), batch.column(3))]
+            # many pairs share a text: that of a group's first node
+            seen: dict[int, np.ndarray] = {}
+
+            def hashed(column: int, i: int) -> np.ndarray:
+                node = batch.column(column)[i].as_py()
+                if node not in seen:
+                    seen[node] = np.unique(_shingle_hashes(batch.column(column + 2)[i].as_py(), size))
+                return seen[node]
+
+            good = []
+            for i in range(batch.num_rows):
+                x, y = hashed(0, i), hashed(1, i)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similar * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
     return run
 
@@ -350,27 +420,84 @@ def _beside(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
             .select("a", "b", *columns, *[f"other_{c}" for c in columns]))
 
 
+def _merged(labels: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after fresh links (a, b): only the graph of labels is searched for components."""
+    of_a = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    of_b = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    joined = written(fresh.join(of_a, "a").join(of_b, "b").where("la <> lb")
+                     .select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+    if joined.isEmpty():
+        return labels
+    nodes = joined.select(F.col("a").alias("node")).union(joined.select("b")).distinct()
+    found = components(nodes.withColumn("label", F.col("node")), joined)
+    found = found.select(F.col("node").alias("label"), F.col("label").alias("least"))
+    return written(labels.join(found, "label", "left").select("node", F.coalesce("least", "label").alias("label")))
+
+
+def _asked(hard: DataFrame, rows: DataFrame, block: int) -> DataFrame:
+    """The tasks of keys with outsiders: blocks of outsiders (side 0) against blocks of all (side 1).
+
+    ``hard`` has key, node, label, outside; rows are repeated as often as there are blocks of the other side.
+    """
+    counts = (hard.groupBy("key").agg(F.count("*").alias("n"), F.count_if("outside").alias("m"))
+              .select("key", F.expr(f"cast(ceil(n / {block}) as int)").alias("across"),
+                      F.expr(f"cast(ceil(m / {block}) as int)").alias("down")))
+    dealt = (salted_left_join(hard, counts, "key", F.col("node"))
+             .withColumn("i", F.pmod(F.xxhash64("node"), F.col("down")).cast("int"))
+             .withColumn("j", F.pmod(F.xxhash64("node"), F.col("across")).cast("int")))
+    left = (dealt.where("outside").withColumn("side", F.lit(0))
+            .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("across") - 1))))
+    right = (dealt.withColumn("side", F.lit(1))
+             .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("down") - 1))))
+    both = left.unionByName(right).select("key", "i", "j", "side", "node", "label")
+    return both.join(rows, "node")
+
+
 def similar_pairs(docs: DataFrame, size: int = WORDS, similar: float = SIMILAR, distance: int = WIDE,
-                  segments: int = WIDE_SEGMENTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Rows (node, doc_id, ...) of all documents, and links (a, b) of nodes whose texts are similar."""
+                  segments: int = WIDE_SEGMENTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (node, doc_id, ...) of all documents, links (a, b) of nodes whose texts are similar, and the
+    component (node, label) of every node that shares a band key.
+
+    Texts that share a band key are candidates. First each meets its key's least node, which settles
+    groups of copies with a link per member. Members that stay apart from it then meet all members of the
+    key that are not in their component, in a task per block and block, with their shingle sets. The ring of
+    the fingerprints filters candidates, the shingles decide.
+    """
     texts = docs.select(_node(docs).alias("node"), F.col("doc_id").cast("long").alias("doc_id"),
                         text_of(docs).alias("text"))
-    rows = written(texts.mapInArrow(_sketch_rows(size), "node long, doc_id long, print long, shingles int, "
-                                                        "sketch array<long>").dropDuplicates(["node"]))
-    classes = written(rows.groupBy("print").agg(F.min("node").alias("first"), F.count("*").alias("n")))
-    met = written(links(classes.select("print"), distance, block, segments, nearest=True))
-    first = classes.select("print", "first")
-    between = (met.join(first.select(F.col("print").alias("a"), F.col("first").alias("_a")), "a")
-               .join(first.select(F.col("print").alias("b"), F.col("first").alias("_b")), "b")
-               .select(F.col("_a").alias("a"), F.col("_b").alias("b")))
-    inside = (salted_left_join(rows.select("node", "print"), classes.where("n > 1"), "print", F.col("node"))
-              .where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")))
-    maybe = written(_beside(between.union(inside), rows, ["shingles", "sketch"])
-                    .mapInArrow(_maybe_similar(similar), "a long, b long"))
-    asked = maybe.select(F.col("a").alias("node")).union(maybe.select("b")).distinct()
-    # only the texts of candidates move
-    needed = written(texts.join(asked, "node", "left_semi").select("node", "text").dropDuplicates(["node"]))
-    return rows, written(_beside(maybe, needed, ["text"]).mapInArrow(_similar_rows(size, similar), "a long, b long"))
+    rows = written(texts.mapInArrow(_sketch_rows(size), "node long, doc_id long, print long, shingles long, "
+                                                        "keys array<long>, sketch binary").dropDuplicates(["node"]))
+    keyed = rows.select("node", F.explode("keys").alias("key"))
+    groups = (keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head"))
+              .where("n > 1").select("key", "head"))
+    met = written(salted_left_join(keyed, groups, "key", F.col("node")).where("head is not null")
+                  .select("key", "node", "head"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        # only the texts of candidates move
+        needed = written(texts.join(asked, "node", "left_semi").select("node", "text").dropDuplicates(["node"]))
+        return written(_beside(pairs, needed, ["text"]).mapInArrow(_similar_rows(size, similar), "a long, b long"))
+
+    stars = met.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    maybe = written(_beside(stars, rows, ["shingles", "sketch", "print"])
+                    .mapInArrow(_maybe_similar(similar, distance, segments), "a long, b long"))
+    found = checked(maybe)
+    labels = _merged(written(met.select("node").distinct().withColumn("label", F.col("node"))), found)
+    known = (met.join(labels, "node")
+             .join(labels.select(F.col("node").alias("head"), F.col("label").alias("of_head")), "head")
+             .withColumn("outside", F.col("label") != F.col("of_head")))
+    # two members have met already; and where none is outside, all are linked
+    open_ = known.groupBy("key").agg(F.count("*").alias("n"), F.max("outside").alias("any")).where("any and n > 2")
+    hard = written(known.join(open_.select("key"), "key", "left_semi").select("key", "node", "label", "outside"))
+    wanted = written(hard.select("node").distinct())
+    sets = written(texts.join(wanted, "node", "left_semi").select("node", "text").dropDuplicates(["node"])
+                   .mapInArrow(_set_rows(size), "node long, hashes array<long>")
+                   .join(rows.select("node", "print", "shingles", "sketch"), "node"))
+    fresh = written(_asked(hard, sets, block).groupBy("key", "i", "j")
+                    .applyInArrow(_between_rows(similar, distance, segments), "a long, b long").distinct())
+    found, labels = found.union(fresh), _merged(labels, fresh)
+    return rows, found, labels
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = WORDS, similar: float = SIMILAR, distance: int = WIDE,
@@ -379,9 +506,8 @@ def drop_near_duplicates(docs: DataFrame, size: int = WORDS, similar: float = SI
 
     What goes is a small table of rows; it is sent along only where Spark finds it small.
     """
-    rows, found = similar_pairs(docs, size, similar, distance, segments)
-    linked = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-    labels = components(linked.withColumn("label", F.col("node")), found).join(rows.select("node", "doc_id"), "node")
+    rows, _, labels = similar_pairs(docs, size, similar, distance, segments)
+    labels = labels.join(rows.select("node", "doc_id"), "node")
     # null doc_ids come last
     stays = labels.groupBy("label").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))["node"].alias("stays"))

@@ -1,5 +1,7 @@
 import hashlib
 import re
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -128,6 +130,40 @@ def test_shards(documents, plain):
         assert of_id.setdefault(r.doc_id, r.shard) == r.shard
 
 
+def plain_shard(key, tree):
+    """The tree descended by hand; the hash of (id, name) chains the id's into the name's seed."""
+    def hash_long(value, seed):
+        return xxhash.xxh64_intdigest(struct.pack("<q", value), seed % 2**64)
+
+    def least(children):
+        def draw(child):
+            seed = 42 if key is None else hash_long(key, 42)
+            h = xxhash.xxh64_intdigest(child[0].encode(), seed)
+            unit = np.float64(((h >> 11) + 0.5)) / np.float64(1 << 53)
+            return -np.log(unit) / child[1], child[0]
+        return min(map(draw, children))[1]
+
+    return int(least(tree.shards[least(tree.racks[least(tree.regions)])]))
+
+
+def test_shards_by_hand(documents, plain):
+    tree = shards.Tree.even(4, 2, 5)
+    got = shards.place(documents, tree, 40).collect()
+    want = [(d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), "key", plain_shard(d, tree),
+             plain_shard(d, tree.grown(40))) for d, t, *_ in plain]
+    assert sorted(((r.doc_id, r.size, r.text_crc32, r.law, r.shard, r.grown_shard) for r in got), key=str) == sorted(
+        want, key=str)
+
+
+def test_a_weight_moves_documents_only_into_its_subtree(spark):
+    df = spark.range(8000).selectExpr("id as doc_id")
+    tree = shards.Tree.even(4, 2, 5)
+    heavier = shards.Tree(tree.regions, {**tree.racks, "r2": (("r2.0", 9.0), ("r2.1", 5.0))}, tree.shards)
+    both = shards.shard_of(shards.shard_of(df, "doc_id", tree, "a"), "doc_id", heavier, "b").where("a <> b").collect()
+    # r2 holds shards 20 to 29, its first rack 20 to 24
+    assert len(both) > 50 and all(25 <= r.a < 30 and 20 <= r.b < 25 for r in both)
+
+
 def test_shares_follow_weights(spark):
     df = spark.range(20_000).selectExpr("id as doc_id", "'' as text")
     tree = shards.Tree.even(4, 2, 5)
@@ -171,22 +207,87 @@ def test_near_copies_of_the_pipeline(spark):
     assert len(gone & {b for _, b in close}) >= 0.9 * len(close)
 
 
-def test_links_of_a_group_do_not_grow_with_its_square():
+def text_rows(spark, words):
+    return spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+
+
+def components_of(sets):
+    label = list(range(len(sets)))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if simhash.jaccard(sets[i], sets[j]) >= 0.8]
+    for _ in sets:
+        before = list(label)
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+        if before == label:
+            break
+    return pairs, label
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 150])
+def test_family_of_alike_texts(spark, block):
+    """600 texts of one template, of which only 300 pairs are near copies: no pair is lost to the others."""
+    rng = np.random.default_rng(3)
+    template, words = [f"t{i}" for i in range(300)], []
+    for i in range(300):
+        own = list(template)
+        for at in rng.choice(300, 11, replace=False):
+            own[at] = f"v{i}x{at}"
+        copy = list(own)
+        for at in rng.choice(300, 3, replace=False):
+            copy[at] = f"c{i}x{at}"
+        words += [own, copy]
+    sets = [set(zip(*[w[k:] for k in range(5)])) for w in words]
+    pairs, label = components_of(sets)
+    assert 300 <= len(pairs) < 400
+    docs = text_rows(spark, words)
+    _, found, _ = simhash.similar_pairs(docs, block=block)
+    linked = {(r.a, r.b) for r in found.collect()}
+    assert len(linked) >= 0.98 * len(pairs)
+    if block == simhash.BLOCK:
+        kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+        assert set(label) <= kept and len(kept) <= len(set(label)) + 0.02 * 300
+
+
+def test_links_of_a_group_do_not_grow_with_its_square(spark):
     rng = np.random.default_rng(4)
-    group = np.array([int(sum(1 << int(b) for b in rng.choice(64, 2, replace=False))) for _ in range(900)], np.uint64)
-    found = simhash._nearest(group, 15)
-    n = len(np.unique(group))
-    assert n > 700 and len(found) <= (simhash.NEIGHBOURS + 1) * n
-    parent = {int(x): int(x) for x in group}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in found:
-        parent[root(a)] = root(b)
-    assert len({root(x) for x in parent}) == 1
+    base, words = [f"b{i}" for i in range(200)], []
+    for i in range(800):
+        own = list(base)
+        own[rng.integers(200)] = f"e{i}"
+        words.append(own)
+    docs = text_rows(spark, words)
+    _, found, _ = simhash.similar_pairs(docs)
+    assert found.count() <= 6 * 800
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == {0}
+
+
+def test_member_unlike_the_first_but_like_another(spark):
+    """A chain: each text is a near copy of the next only, wherever its key's first node stands."""
+    words = []
+    for chain in range(40):
+        own = [f"{chain}w{i}" for i in range(200)]
+        for step in range(5):
+            words.append(list(own))
+            own[40 * step + 10:40 * step + 22] = [f"{chain}s{step}x{i}" for i in range(12)]
+    sets = [set(zip(*[w[k:] for k in range(5)])) for w in words]
+    pairs, label = components_of(sets)
+    assert len(pairs) == 160 and len(set(label)) == 40
+    assert {r.doc_id for r in simhash.drop_near_duplicates(text_rows(spark, words)).collect()} == set(label)
+
+
+def test_passage_shared_by_many(spark):
+    """Half of each text is one passage: none is a near copy."""
+    passage = [f"p{i}" for i in range(100)]
+    words = [passage + [f"o{d}x{i}" for i in range(100)] for d in range(500)]
+    assert simhash.drop_near_duplicates(text_rows(spark, words)).count() == 500
+
+
+def test_clashing_names_stay(spark):
+    rows = [(1, "a b c", "keep me", "x", "y", 1), (2, "a  b c", "gone", "x", "y", 2), (3, "other", "keep", "x", "y", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, _sha string, key string, sha int")
+    for out in (exact_dedup.drop_duplicates(docs), simhash.drop_near_duplicates(docs.where("doc_id <> 2"))):
+        assert out.columns == docs.columns
+        assert sorted(tuple(r) for r in out.collect()) == [rows[0], rows[2]]
 
 
 def test_two_texts_under_one_doc_id(spark):

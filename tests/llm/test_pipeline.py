@@ -34,13 +34,14 @@ def test_stages(spark, data_dir):
         first.setdefault(spaced(all_docs[doc_id]), doc_id)
     assert set(kept["exact_dedup"]) == set(first.values())
 
-    prints = {d: simhash.fingerprint(t or "") for d, t in kept["exact_dedup"].items()}
-    group = {d: d for d in prints}
+    sets = {d: simhash.shingle_set(t or "") for d, t in kept["exact_dedup"].items()}
+    group = {d: d for d in sets}
     changed = True
+    alike = [p for p in itertools.combinations(sets, 2) if simhash.jaccard(sets[p[0]], sets[p[1]]) >= 0.8]
     while changed:  # the smallest doc_id spreads over links
         changed = False
-        for a, b in itertools.combinations(prints, 2):
-            if (prints[a] ^ prints[b]).bit_count() <= 3 and group[a] != group[b]:
+        for a, b in alike:
+            if group[a] != group[b]:
                 group[a] = group[b] = min(group[a], group[b])
                 changed = True
     assert set(kept["simhash_near_dedup"]) == set(group.values())
