@@ -12,48 +12,48 @@ vocabulary's word mark. Distinct words of a batch are scored once, for all
 languages together, byte position by byte position.
 
 Training takes at most ``PER_LANGUAGE`` documents of each language, those of the
-least hash of doc_id: a bounded sample, collected as word counts.
+least hash of doc_id: a bounded sample, collected as word counts. The prior is the share of
+each language among all training documents.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 rows with a null doc_id are held out; without any training row everything is ``und``; ties go
-to the language that sorts first.
+to the language that sorts first; repeated rows are predicted alike, and a repeated training row counts
+as often as it stands; a long text is scored whole, in sums of logarithms; other columns are not looked at; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import spans
-from .tables import text_of
+from .tables import least_hashes, text_of
 
 PER_LANGUAGE = 600
 TURNS = 3
 SMOOTH = 0.1
-LONGEST = 12
 SLICE_BYTES = 1 << 21
 MARK = "▁".encode()
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def vocabulary(path: str, longest: int = LONGEST) -> list[bytes]:
-    """Pieces of at most ``longest`` bytes of a sentencepiece file, and all single bytes, in sorted order."""
+def vocabulary(path: str) -> list[bytes]:
+    """All pieces of a sentencepiece file, and all single bytes, in sorted order."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {bytes([b]) for b in range(256)}
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
-            raw = model.id_to_piece(i).encode()
-            if len(raw) <= longest:
-                pieces.add(raw)
+            pieces.add(model.id_to_piece(i).encode())
     return sorted(pieces)
 
 
@@ -67,7 +67,8 @@ class Lattice:
         keys = spans.hashes(data, ends - lengths, ends)
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
-        self.longest = int(lengths.max())
+        self.lengths = np.unique(lengths).tolist()  # only these are looked up
+        self.longest = self.lengths[-1]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The piece of each hash, -1 where there is none."""
@@ -109,7 +110,7 @@ def forward(lattice: Lattice, data: np.ndarray, starts: np.ndarray, ends: np.nda
         m = int(np.searchsorted(-size, -end, side="right"))
         now = np.zeros((m, languages))
         found = []
-        for length in range(1, min(lattice.longest, end) + 1):
+        for length in lattice.lengths[:bisect.bisect_right(lattice.lengths, end)]:
             piece = lattice.find(hashed.of(begin[:m] + (end - length), length))
             hit = np.flatnonzero(piece >= 0)
             if len(hit):
@@ -221,10 +222,8 @@ def fit(docs: DataFrame, vocabulary_path: str, folds: int = 5, per_language: int
     rows = (docs.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").cast("string").alias("lang"),
                         text_of(docs).alias("text"))
             .where((F.crc32(F.encode("id", "utf-8")) % folds != 0) & F.col("lang").isNotNull()))
-    # ids are ranked without the texts, so that texts are not sorted
-    first = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = (rows.select("id", "lang").withColumn("r", F.row_number().over(first))
-              .where(F.col("r") <= per_language).select("id", "lang"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    chosen = least_hashes(rows.select("id", "lang"), sizes, "lang", "id", per_language)
     sample = rows.join(F.broadcast(chosen), ["id", "lang"], "left_semi")  # per_language rows of each language
     counted = (sample.select("lang", "text").mapInArrow(_count_rows, "lang string, word binary, n long")
                .groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow())
@@ -234,7 +233,7 @@ def fit(docs: DataFrame, vocabulary_path: str, folds: int = 5, per_language: int
     words, which = np.unique(np.array(counted.column("word").to_pylist(), object), return_inverse=True)
     weights = np.zeros((len(words), len(langs)))
     weights[which, code] = counted.column("n").to_numpy()
-    by_lang = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
+    by_lang = {r["lang"]: r["rows"] for r in sizes.collect()}  # of all training documents, not of the sample
     prior = np.array([by_lang[x] for x in langs], float)
     return train(vocabulary(vocabulary_path), words.tolist(), weights, [str(x) for x in langs], prior / prior.sum())
 

@@ -38,6 +38,23 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: Column
     return salted.join(copies, [key, "_salt"], "left").drop("_salt")
 
 
+def least_hashes(rows: DataFrame, sizes: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """(key, group) of the ``n`` rows of least key hashes in every group, fewer only where there are fewer.
+
+    ``sizes`` (group, rows) counts the groups. A large group first loses the hashes above a bound
+    under which about 2 n + 40 of its rows lie (fewer than n: never in practice, and then a few rows less),
+    so no task ranks a group. Null groups are left out.
+    """
+    from pyspark.sql import Window as W
+
+    share = F.least(F.lit(1.0), (2.0 * n + 40) / F.col("rows"))
+    hashed = rows.withColumn("hash", F.xxhash64(key))
+    low = F.shiftrightunsigned("hash", 33).cast("double") <= share * float(1 << 31)
+    few = hashed.join(sizes.select(group, "rows"), group).where(low)  # one row per group: sent along while small
+    first = W.partitionBy(group).orderBy(F.shiftrightunsigned("hash", 33), "hash", key)
+    return few.withColumn("place", F.row_number().over(first)).where(F.col("place") <= n).select(key, group)
+
+
 def dense_rank_slots(rows: DataFrame, group: str, order: str, name: str) -> DataFrame:
     """Number the rows of every group from 0 without holding a group in one task.
 

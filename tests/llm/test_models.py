@@ -131,6 +131,68 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [total(w) for w in words])
 
 
+def segmentations(word, pieces):
+    if not word:
+        yield ()
+    for n in range(1, len(word) + 1):
+        if word[:n] in pieces:
+            for rest in segmentations(word[n:], pieces):
+                yield (word[:n], *rest)
+
+
+def test_expected_counts_over_all_segmentations():
+    """The E step against an enumeration, with pieces of lengths that are not consecutive."""
+    pieces = sorted({bytes([b]) for b in b"abc"} | {b"abca", b"bc", b"bcabc"})
+    assert language.Lattice(pieces).lengths == [1, 2, 4, 5]
+    rng = np.random.default_rng(1)
+    table = rng.random((len(pieces), 3)) + 0.05
+    words = [b"abcabc", b"bcabcbc", b"a", b"cab"]
+    weights = rng.integers(0, 5, (len(words), 3)).astype(float)
+    want = np.zeros(table.shape)
+    for w, weight in zip(words, weights):
+        ways = list(segmentations(w, set(pieces)))
+        chance = np.array([np.prod([table[pieces.index(p)] for p in way], axis=0) for way in ways])
+        for way, share in zip(ways, chance / chance.sum(axis=0)):
+            for p in way:
+                want[pieces.index(p)] += share * weight
+    ends = np.cumsum([len(w) for w in words])
+    got = language.expected_counts(language.Lattice(pieces), np.frombuffer(b"".join(words), np.uint8),
+                                   ends - [len(w) for w in words], ends, table, weights)
+    assert np.allclose(got, want)
+
+
+def test_posterior_of_texts(spark):
+    """Prediction and score of whole texts against sums over enumerated segmentations."""
+    mark = language.MARK
+    pieces = sorted({bytes([b]) for b in range(256)} | {mark, mark + b"ab", b"ba", b"abab"})
+    rng = np.random.default_rng(2)
+    table = rng.random((len(pieces), 2)) + 0.01
+    model = language.Model(pieces, ["x", "y"], table / table.sum(axis=0), np.array([0.7, 0.3]))
+    texts = ["abab ba", "BA ab", "ab " * 30, "b", "ababab  ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in language.predict(docs, model).collect():
+        scores = np.log(model.prior)
+        for word in texts[r.doc_id].lower().split():
+            ways = segmentations(mark + word.encode(), set(pieces))
+            scores = scores + np.log(sum(np.prod([model.table[pieces.index(p)] for p in w], axis=0) for w in ways))
+        chance = np.exp(scores - scores.max())
+        assert r.lang_pred == model.languages[int(scores.argmax())]
+        assert r.score == pytest.approx(chance.max() / chance.sum())
+
+
+def test_least_hashes_take_what_a_plain_sort_takes(spark):
+    from quillspark.llm.tables import least_hashes
+    rows = spark.range(30_000).selectExpr("cast(id as string) as id", "if(id % 10 < 8, 'big', if(id < 60, 'tiny', 'mid')) "
+                                          "as lang")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    got = least_hashes(rows, sizes, "lang", "id", 50).collect()
+    plain = collections.defaultdict(list)
+    for r in rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("id"), 33)).collect():
+        plain[r.lang].append((r.h, r.id))
+    want = {(i, lang) for lang, own in plain.items() for _, i in sorted(own)[:50]}
+    assert {(r.id, r.lang) for r in got} == want and len(plain["tiny"]) < 50
+
+
 def test_language_accuracy_and_cases(spark, data_dir, documents, plain):
     docs = spark.read.parquet(f"{data_dir}/documents.parquet")
     model = language.fit(docs, PIECES)
