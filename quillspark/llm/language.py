@@ -119,9 +119,10 @@ def forward(lattice: Lattice, data: np.ndarray, starts: np.ndarray, ends: np.nda
                     found.append((length, hit, piece[hit]))
         scale = now
         log[:m] += np.log(scale)
-        ring[end % window, :m] = 1.0
+        on = int(np.searchsorted(-size, -(end + 1), side="right"))  # words that go on after this position
+        ring[end % window, :on] = 1.0
         for back in range(1, min(lattice.longest, end + 1)):
-            ring[(end - back) % window, :m] /= scale
+            ring[(end - back) % window, :on] /= scale[:on]
         if keep:
             kept.append((m, found, scale))
     out = np.empty_like(log)
