@@ -2,12 +2,14 @@
 
 import time
 
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import dashboard as B
 from quillspark.operators import history as H
 from quillspark.operators import sparse as S
+from quillspark.plans import catalog
 from quillspark.plans import derived as D
 from quillspark.plans.catalog import Tables
 from quillspark.streaming import counters, sinks, stateful
@@ -170,3 +172,14 @@ def test_lost_frames_and_errors(spark, tmp_path):
     finally:
         q.stop()
     assert got == [("gap", "a"), ("whole", "z")] and left == 0
+
+
+@pytest.mark.parametrize("name", ["stream_assemble_answer", "stream_history_size"])
+def test_keyed_streams_on_a_session_built_elsewhere(spark, data_dir, name):
+    """Such a session has Spark's default state store, which can't hold map and list state."""
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", "UTC")
+    other.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    df = catalog.queries()[name](other, data_dir)
+    assert oracle.compare(df, oracle.connect(data_dir), catalog.oracle_sql()[name]) is None
