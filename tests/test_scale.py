@@ -115,3 +115,22 @@ def test_sample_is_repeatable(hot):
     a = R.sample_n(hot, "turn", 15, "x").select("turn").collect()
     b = R.sample_n(hot.repartition(13), "turn", 15, "x").select("turn").collect()
     assert a == b and len(a) == 15
+
+
+def test_score_matrix_is_bounded():
+    """However many rows meet in a task, the distances held at once don't grow with both sides."""
+    import tracemalloc
+
+    import numpy as np
+
+    from quillspark.operators import dense
+
+    r = np.random.default_rng(5)
+    q, b = r.normal(size=(2048, 4)), r.normal(size=(60_000, 4))
+    tracemalloc.start()
+    best = dense._fold(q, [(np.arange(len(b)), b)], 1, "cosine", -0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    s = dense._scores(q[:20], b, "cosine")
+    assert best[1][:20].tolist() == [int(np.lexsort((np.arange(len(b)), x))[0]) for x in s]
