@@ -12,9 +12,10 @@ that hold more than ``BLOCK`` fingerprints are compared block against block in
 tasks of their own; no pair is left out.
 
 ``near_groups`` is the query's contract: three words, 3 bits. ``drop_near_duplicates`` is
-the pipeline's stage: five words and a Jaccard similarity of ``SIMILAR`` or more. Pairs that
-similar differ in more bits than segments can be told apart by, so there the texts that meet share
-band keys of a min-hash signature; the ring filters these candidates, and the texts decide.
+the pipeline's stage: five words and a Jaccard similarity of ``SIMILAR`` or more. There the same
+pigeonring keys bring together texts whose fingerprints link at 3 bits. Other pairs that similar differ in
+more bits than segments can be told apart by, so texts that share band keys of a min-hash signature meet
+too; the ring filters all these candidates, and the texts decide.
 
 Defined cases: null text is empty; a text without words has fingerprint zero,
 which is linked like any other; null doc_ids never name a component unless the
@@ -262,6 +263,15 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return keys
 
 
+_RINGS = np.array([m for _, m in ring_masks()], np.uint64)
+
+
+def ring_keys(fingerprint: int) -> np.ndarray:
+    """The pigeonring's join keys: fingerprints of at most ``DISTANCE`` differing bits share one."""
+    places = np.arange(1, len(_RINGS) + 1, dtype=np.uint64) << np.uint64(32)
+    return mix(mix(np.uint64(fingerprint) & _RINGS) + places)
+
+
 def _sketch_rows(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,7 +282,7 @@ def _sketch_rows(size: int):
                 least = signature(distinct)
                 prints.append(_majority(hashed))
                 sizes.append(len(distinct))
-                keys.append(band_keys(least).view(np.int64))
+                keys.append(np.concatenate([ring_keys(prints[-1]), band_keys(least)]).view(np.int64))
                 sketches.append(mix(least).astype(np.uint8).tobytes())
             yield pa.record_batch([batch.column(0), batch.column(1),
                                    pa.array(np.array(prints, np.uint64).view(np.int64), pa.int64()),
@@ -456,9 +466,9 @@ def _asked(hard: DataFrame, rows: DataFrame, block: int) -> DataFrame:
 def similar_pairs(docs: DataFrame, size: int = WORDS, similar: float = SIMILAR, distance: int = WIDE,
                   segments: int = WIDE_SEGMENTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (node, doc_id, ...) of all documents, links (a, b) of nodes whose texts are similar, and the
-    component (node, label) of every node that shares a band key.
+    component (node, label) of every node that shares a key.
 
-    Texts that share a band key are candidates. First each meets its key's least node, which settles
+    Texts that share a pigeonring key or a band key are candidates. First each meets its key's least node, which settles
     groups of copies with a link per member. Members that stay apart from it then meet all members of the
     key that are not in their component, in a task per block and block, with their shingle sets. The ring of
     the fingerprints filters candidates, the shingles decide.

@@ -296,3 +296,21 @@ def test_two_texts_under_one_doc_id(spark):
     rows = [(1, text), (2, text + " more"), (2, "another text that is like none of them")]
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == sorted([rows[0], rows[2]])
+
+
+def test_the_stage_meets_by_pigeonring_keys():
+    """Fingerprints of at most 3 differing bits share a key of the stage, whatever the band keys are."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(9)
+    for _ in range(300):
+        print_ = int(r.integers(0, 2**64, dtype=np.uint64))
+        other = print_
+        for bit in r.choice(64, 3, replace=False):
+            other ^= 1 << int(bit)
+        assert set(simhash.ring_keys(print_).tolist()) & set(simhash.ring_keys(other).tolist())
+    batch = pa.record_batch([pa.array([1]), pa.array([1]), pa.array(["one two three four five six"])],
+                            names=["node", "doc_id", "text"])
+    row = next(simhash._sketch_rows(5)([batch])).to_pylist()[0]
+    own = simhash.ring_keys(row["print"] % 2**64).view(np.int64).tolist()
+    assert row["keys"][:len(own)] == own and len(row["keys"]) == len(own) + simhash.SKETCH // simhash.BAND
