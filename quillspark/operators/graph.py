@@ -131,9 +131,42 @@ def context_classes(queries: DataFrame, tokens: DataFrame, index: NameIndex) ->
 
 
 def expand(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """Distinct (qid, source, value, target): every link of every name in a class of a query's tokens."""
-    names = members.join(classes.select("token", "name"), "token").select("qid", "name").distinct()
-    return mentions(names, links)
+    """Distinct (qid, source, value, target): every link of every name in a class of a query's tokens.
+
+    Names that contain the same tokens are looked up as one, so the queries of a link come from a table of
+    pairs of such kinds. Only what is given out is a row per query and link, and it doesn't move.
+    """
+    kinds = written(classes.groupBy("name").agg(F.array_sort(F.collect_set("token")).alias("kind")))
+    none = F.array().cast("array<string>")
+
+    def of(end: str) -> DataFrame:
+        return kinds.select(F.col("name").alias(end), F.col("kind").alias(f"{end}_kind"))
+
+    placed = written(links.join(of("source"), "source", "left").join(of("target"), "target", "left")
+                     .select("source", "value", "target", F.coalesce("source_kind", none).alias("source_kind"),
+                             F.coalesce("target_kind", none).alias("target_kind"))
+                     .filter((F.size("source_kind") > 0) | (F.size("target_kind") > 0)))
+    pairs = placed.select("source_kind", "target_kind").distinct()
+    asking = (pairs.withColumn("token", F.explode(F.array_union("source_kind", "target_kind")))
+              .join(members.select("qid", "token"), "token")
+              .groupBy("source_kind", "target_kind").agg(F.collect_set("qid").alias("qids")))
+    return (placed.join(asking, ["source_kind", "target_kind"])
+            .select(F.explode("qids").alias("qid"), "source", "value", "target"))
+
+
+def expanded_lines(queries: DataFrame, tokens: DataFrame, links: DataFrame) -> DataFrame:
+    """Distinct (qid, line): the links around a query's words as text, or one placeholder line for a query
+    without any."""
+    members, classes = context_classes(queries, tokens, name_index(links))
+    members = written(members)
+    rows = expand(members.filter(F.col("token").isNotNull()), classes, links)
+    parts = F.concat("source", "value", "target")
+    line = X.triple_line(F.col("source"), F.col("value"), F.col("target")).alias("line")
+    # only names that hold the marks of a line can give one line from two links
+    marked = parts.contains("-") | parts.contains(">")
+    none = members.filter(F.col("token").isNull()).select("qid", F.lit(P.NO_GRAPH_CONTEXT).alias("line"))
+    return (rows.filter(~marked).select("qid", line)
+            .unionByName(rows.filter(marked).select("qid", line).distinct()).unionByName(none))
 
 
 def _substrings(name: Column, lengths: Column) -> Column:

@@ -109,15 +109,22 @@ D.add_ctes(
 
 
 @query("graph_context", """
-    SELECT 'member' AS part, qid, token, NULL AS name, NULL AS links FROM g_members
-    UNION ALL SELECT 'none', qid, NULL, NULL, NULL FROM queries_txt WHERE qid NOT IN (SELECT qid FROM g_members)
-    UNION ALL SELECT 'class', NULL, token, name, links FROM g_classes""", ("queries_txt", "g_members", "g_classes"))
+    tok AS (SELECT DISTINCT qid, u.x AS token FROM queries_txt,
+              UNNEST(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS u(x)),
+    links AS (SELECT a.name AS source, e.relation AS value, b.name AS target
+              FROM edges e JOIN nodes a ON e.source_id = a.node_id
+              JOIN nodes b ON e.target_id = b.node_id),
+    names AS (SELECT source AS name FROM links UNION SELECT target FROM links),
+    hit AS (SELECT DISTINCT qid, name FROM tok JOIN names ON contains(name, token)),
+    lines AS (SELECT DISTINCT qid, source || ' -' || value || '-> ' || target AS line
+              FROM hit JOIN links ON hit.name = links.source OR hit.name = links.target)
+    SELECT qid, line FROM lines
+    UNION ALL SELECT qid, '暂无图谱逻辑关联' FROM queries_txt
+    WHERE qid NOT IN (SELECT qid FROM lines)""".replace("tok AS", "WITH tok AS", 1),
+       ("queries_txt", "nodes", "edges"))
 def graph_context(t):
-    """Queries by the classes of names their words stand for, and each class once."""
-    members, classes = graph_classes(D.queries_txt(t), stored_links(t))
-    part = F.when(F.col("token").isNull(), "none").otherwise("member")
-    return (members.withColumn("part", part).unionByName(classes.withColumn("part", F.lit("class")), True)
-            .select("part", "qid", "token", "name", "links"))
+    """The links around every query's words as lines."""
+    return graph_lines(D.queries_txt(t), stored_links(t))
 
 
 @query("graph_context_links", """
@@ -135,6 +142,10 @@ def graph_classes(q, links):
     return G.context_classes(q, query_tokens(q), G.name_index(links))
 
 
+def graph_lines(q, links):
+    return G.expanded_lines(q, query_tokens(q), links)
+
+
 def query_tokens(q):
     from ..functions.text import tokenize
 

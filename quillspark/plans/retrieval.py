@@ -14,7 +14,7 @@ from ..operators import sparse as S
 from ..session import written
 from . import derived as D
 from .catalog import query
-from .joins import graph_classes, stored_links
+from .joins import graph_lines, stored_links
 from .streams import folder
 
 # Oracle building blocks
@@ -267,32 +267,41 @@ def rerank_or_fallback(t):
         "status", F.coalesce("answer", F.lit("")).alias("answer"))
 
 
-@query("context_block", r"""
-    WITH tail AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS back
+@query("context_block", """
+    WITH tok AS (SELECT DISTINCT qid, u.x AS token FROM queries_both,
+                   UNNEST(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS u(x)),
+    links AS (SELECT a.name AS source, e.relation AS value, b.name AS target
+              FROM edges e JOIN nodes a ON e.source_id = a.node_id
+              JOIN nodes b ON e.target_id = b.node_id),
+    names AS (SELECT source AS name FROM links UNION SELECT target FROM links),
+    hit AS (SELECT DISTINCT qid, name FROM tok JOIN names ON contains(name, token)),
+    lines AS (SELECT DISTINCT qid, source || ' -' || value || '-> ' || target AS line
+              FROM hit JOIN links ON hit.name = links.source OR hit.name = links.target),
+    tail AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS back
              FROM msgs),
     hist AS (SELECT CAST(substr(session_id, 2) AS BIGINT) AS qid,
                     string_agg(CASE WHEN role = 'user' THEN '用户' ELSE '助手' END || ': ' || content,
                                chr(10) ORDER BY turn) AS history
              FROM tail WHERE back <= 8 GROUP BY session_id),
-    ok AS (SELECT DISTINCT qid FROM final),
-    used AS (SELECT DISTINCT token FROM g_members WHERE qid IN (SELECT qid FROM ok))
+    ok AS (SELECT DISTINCT qid FROM final)
     SELECT qid, '1_sources' AS part,
            string_agg('[资料' || pos || ']: ' || d.text, chr(10) ORDER BY pos) AS line
     FROM final f JOIN documents d ON d.doc_id = f.id GROUP BY qid
-    UNION ALL SELECT qid, '2_graph', token FROM g_members WHERE qid IN (SELECT qid FROM ok)
+    UNION ALL SELECT qid, '2_graph', line FROM lines WHERE qid IN (SELECT qid FROM ok)
     UNION ALL SELECT qid, '2_graph', '暂无图谱逻辑关联' FROM ok
-              WHERE qid NOT IN (SELECT qid FROM g_members)
-    UNION ALL SELECT NULL, '2_graph_class', token || ': ' || name || ' (' || links || ')' FROM g_classes
-              WHERE token IN (SELECT token FROM used)
+              WHERE qid NOT IN (SELECT qid FROM lines)
     UNION ALL SELECT qid, '3_history', history FROM hist WHERE qid IN (SELECT qid FROM ok)
     UNION ALL SELECT qid, '4_query', text FROM queries_both WHERE qid IN (SELECT qid FROM ok)
-    """, ("final", "g_members", "g_classes", "msgs", "queries_both"))
+    """, ("final", "nodes", "edges", "msgs", "queries_both"))
 def context_block(t):
-    q = D.queries_both(t).select("qid", "text")
-    members, classes = graph_classes(q, stored_links(t))
+    final = final_docs(t)
+    # only the queries that get an answer are looked up in the graph
+    asked = D.queries_both(t).select("qid", "text").join(
+        final.filter(F.col("id").isNotNull()).select("qid").distinct(), "qid", "left_semi")
+    graph = graph_lines(asked, stored_links(t))
     history = H.transcripts(D.msgs(t)).select(
         F.expr("substring(session_id, 2)").cast("bigint").alias("qid"), "history")
-    return HY.evidence(q, final_docs(t), corpus(t), members, classes, history)
+    return HY.evidence(asked, final, corpus(t), graph, history)
 
 
 # --- cache ---------------------------------------------------------------

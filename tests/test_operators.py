@@ -21,6 +21,7 @@ from quillspark.operators import quiz as Q
 from quillspark.operators import ranking as R
 from quillspark.operators import sparse as S
 from quillspark.operators import topics as TP
+from quillspark.plans import catalog
 from quillspark.plans import derived as D
 from quillspark.plans import retrieval as RT
 from quillspark.plans.catalog import Tables
@@ -362,6 +363,28 @@ def test_graph_build(spark):
     assert rows(G.links(edges, gone)) == [("b", "r", "b")]
 
 
+def test_expanded_lines_are_whole(spark):
+    """A line per query and link, each text once, and one for a query without any; no pairs of query and name meet."""
+    links = [("red a", "r", "blue"), ("blue", "r", "red b"), ("red a", "r", "red b"), ("x -r-> red", "r", "y"),
+             ("x", "r", "red -r-> y"), ("green", "r", "grey")]
+    df = spark.createDataFrame(links, "source string, value string, target string")
+    tk = spark.createDataFrame([(1, "red"), (1, "a"), (2, "blue"), (3, "nowhere")], "qid long, token string")
+    got = [tuple(r) for r in G.expanded_lines(tk.select("qid").distinct(), tk, df).collect()]
+    line = lambda s, v, t: f"{s} -{v}-> {t}"
+    want = {(1, line(*x)) for x in links[:5]} | {(2, line(*x)) for x in links[:2]} | {(3, P.NO_GRAPH_CONTEXT)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_graph_context_gives_the_links(spark, data_dir):
+    """Every link of a query as a line, not only the classes of names."""
+    rows = catalog.queries()["graph_context"](spark, data_dir)
+    assert rows.columns == ["qid", "line"]
+    links = catalog.queries()["graph_context_links"](spark, data_dir).agg(F.sum("links")).first()[0]
+    assert rows.filter(F.col("line") != P.NO_GRAPH_CONTEXT).count() == links
+    block = catalog.queries()["context_block"](spark, data_dir)
+    assert block.filter("part = '2_graph' and line like '% -%-> %'").count() > 0
+
+
 def test_classes_expand_to_the_links(spark):
     import random
     r = random.Random(3)
