@@ -71,6 +71,26 @@ def test_a_term_of_all_documents_is_spread(blocks):
     assert all(a.hi < b.lo for a, b in zip(ranges, ranges[1:]))
 
 
+def test_blocks_move_texts_not_postings(spark, tmp_path, monkeypatch):
+    """The store shuffles documents only: every plan writes what was put together in the task of its slice."""
+    rows = [(i, " ".join(["a b c"] * 20)) for i in range(300)] + [(None, "a q"), (7, "a"), (400, None)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    monkeypatch.setattr(BM, "build_postings", None, raising=False)
+    monkeypatch.setattr(BM, "summarise", None, raising=False)
+    index = BM.store(df, str(tmp_path / "i"), slice_docs=64)
+    held = {(r.term, r.slice): r for r in index.blocks.collect()}
+    assert {t for t, _ in held} == {"a", "b", "c", "q"}
+    a = [r for (t, _), r in held.items() if t == "a"]
+    assert sum(r.n for r in a) == 302 and sum(r.cf for r in a) == 6002 and all(r.n <= 64 for r in a)
+    assert min(r.lo for r in a) == 0 and [r.lo for (t, _), r in held.items() if t == "q"] == [None]
+    for r in held.values():
+        ids = [e.id for e in r.entries if e.id is not None]
+        assert ids == sorted(ids) and len(r.entries) == r.n
+        assert r.impact == max(e.tf * 2.5 / (e.tf + 1.5 * (0.25 + 0.75 * e.dl / index.avg_len)) for e in r.entries)
+    stats = {r.term: (r.df, r.cf) for r in index.term_stats.collect()}
+    assert stats == {"a": (302, 6002), "b": (300, 6000), "c": (300, 6000), "q": (1, 1)}
+
+
 def test_blocks_of_nothing(spark, corpus, asked, tmp_path):
     index = BM.store(corpus.filter("id < 0"), str(tmp_path / "i"))
     assert BM.top(index, asked, 5, direct_rows=0).collect() == []
