@@ -134,3 +134,25 @@ def test_score_matrix_is_bounded():
     assert peak < 200 << 20
     s = dense._scores(q[:20], b, "cosine")
     assert best[1][:20].tolist() == [int(np.lexsort((np.arange(len(b)), x))[0]) for x in s]
+
+
+def test_cut_texts_are_given_back_in_pieces():
+    """A batch of Arrow texts is cut text by text: neither its texts nor its chunks are Python strings all at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lines = ("法规" * 300 + "\n") * 400
+    texts = [lines + str(i) for i in range(120)] + [None, "", "x"]
+    batch = pa.array(texts)
+    want = [len(K.merge_pieces(x, 1200, 200)) if x else 0 for x in texts[-4:]]
+    tracemalloc.start()
+    n, most = [], 0
+    for part in K.cut_texts(iter([batch]), 1200, 200):
+        n += pc.list_value_length(part).to_pylist()
+        most = max(most, len(part))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n[-4:] == want and len(n) == len(texts) and min(n[:120]) >= 199
+    assert most < 10 and peak < 40 << 20  # the texts are 57 MB as Python strings
