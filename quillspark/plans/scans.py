@@ -47,6 +47,10 @@ def read_text_fallback(t):
                         io.decode_text(F.col("content")).alias("text"))
 
 
+#: Folders over the text files, and tasks that write them.
+FILE_BLOCKS = 256
+
+
 @query("read_text_files", r"""
     SELECT doc_id // 50 AS file, doc_id // 50 % 2 = 1 AS gbk,
            md5(string_agg(line, chr(10) ORDER BY doc_id) || chr(10)) AS digest
@@ -54,7 +58,11 @@ def read_text_fallback(t):
                    THEN regexp_replace(text, '[^\x00-\x7f]', '', 'g') ELSE text END AS line
           FROM documents WHERE text IS NOT NULL) GROUP BY doc_id // 50""")
 def read_text_files(t):
-    """Documents stored as text files of 50, every other file in GBK, and read back file by file."""
+    """Documents stored as text files of 50, every other file in GBK, and read back file by file.
+
+    The folders of the files lie in ``FILE_BLOCKS`` folders. A block is written by one task, moved as one folder when
+    the job commits and listed by one task; with all files in one folder these cost a step or a task per file.
+    """
     path, file = folder(t, "files"), F.expr("doc_id div 50")
     gbk = file % 2 == 1
     text = F.when(gbk, F.regexp_replace("text", r"[^\x00-\x7f]", "")).otherwise(F.col("text"))
@@ -62,10 +70,12 @@ def read_text_files(t):
     raw = F.when(gbk, F.encode(line, "GBK")).otherwise(F.encode(line, "UTF-8"))
     io.allow_gbk(t.spark)
     (t.documents.where("text is not null").select(file.alias("file"), "doc_id", raw.cast("string").alias("value"))
-     .repartition("file").sortWithinPartitions("file", "doc_id").select("file", "value")
-     .write.partitionBy("file").text(path))
+     .withColumn("block", F.pmod(F.xxhash64("file"), F.lit(FILE_BLOCKS)))
+     # a fixed number of tasks: files take time to make, whatever their bytes
+     .repartition(FILE_BLOCKS, "block").sortWithinPartitions("block", "file", "doc_id")
+     .select("block", "file", "value").write.partitionBy("block", "file").text(path))
     number = F.regexp_extract("path", r"file=(\d+)/[^/]*$", 1).cast("bigint")
-    read = io.read_text_files(t.spark, path).select(number.alias("file"), "text")
+    read = io.read_text_files(t.spark, path, nested=True).select(number.alias("file"), "text")
     return read.select("file", (F.col("file") % 2 == 1).alias("gbk"), F.md5("text").alias("digest"))
 
 

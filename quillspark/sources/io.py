@@ -26,11 +26,17 @@ def allow_gbk(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
 
 
-def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of whole text files."""
+def read_text_files(spark: SparkSession, path: str, nested: bool = False) -> DataFrame:
+    """(path, text) of whole text files.
+
+    ``nested``: those in all folders below, whose names are no columns. Spark lists a folder of folders in a
+    task, with what is in it, so many files should lie in some hundred folders of their own.
+    """
     allow_gbk(spark)
-    return (spark.read.format("binaryFile").load(path)
-            .select("path", decode_text(F.col("content")).alias("text")))
+    files = spark.read.format("binaryFile")
+    if nested:
+        files = files.option("recursiveFileLookup", "true")
+    return files.load(path).select("path", decode_text(F.col("content")).alias("text"))
 
 
 def append_rows(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -156,3 +156,24 @@ def test_cut_texts_are_given_back_in_pieces():
     tracemalloc.stop()
     assert n[-4:] == want and len(n) == len(texts) and min(n[:120]) >= 199
     assert most < 10 and peak < 40 << 20  # the texts are 57 MB as Python strings
+
+
+def test_text_files_lie_in_blocks(spark, tmp_path, monkeypatch):
+    """Folders that the job moves and lists don't grow with the files; every file is read back whole."""
+    import hashlib
+    import os
+
+    from quillspark.plans import scans
+    from quillspark.sources.schemas import INPUTS
+
+    docs = [(i, f"text {i} é\nsecond line", "en", "web", 1) for i in range(0, 2000, 20)] + [(7, None, None, None, None)]
+    spark.createDataFrame(docs, INPUTS["documents"]).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(scans, "folder", lambda t, name: str(tmp_path / name))
+    monkeypatch.setattr(scans, "FILE_BLOCKS", 4, raising=False)
+    got = {r["file"]: (r["gbk"], r["digest"]) for r in scans.read_text_files(Tables(spark, str(tmp_path))).collect()}
+    want = {}
+    for i, text, *_ in docs[:-1]:
+        odd = i // 50 % 2 == 1
+        want.setdefault(i // 50, [odd, ""])[1] += f"第{i}条 {text.replace('é', '') if odd else text}\n"
+    assert got == {k: (odd, hashlib.md5(x.encode()).hexdigest()) for k, (odd, x) in want.items()} and len(got) == 40
+    assert len([x for x in os.listdir(tmp_path / "files") if "=" in x]) <= 4
