@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,6 +27,8 @@ for _module in (sys.modules[__name__], stateful):
 
 #: An answer for which nothing has come for so long, by event time, is dropped.
 ANSWER_ENDS_SECONDS = 3600
+#: Python has no later times; frames that lie beyond count as of then.
+LAST = datetime(9999, 12, 30, tzinfo=timezone.utc)
 
 
 def _move_timer(handle: StatefulProcessorHandle, millis: int) -> None:
@@ -35,6 +38,10 @@ def _move_timer(handle: StatefulProcessorHandle, millis: int) -> None:
     handle.registerTimer(millis)
 
 
+def _joined(parts: dict) -> str:
+    return "".join(parts[seq] for seq in sorted(parts))
+
+
 class Answers(StatefulProcessor):
     """Fragments of one answer in a map state; the answer is emitted once it is whole."""
 
@@ -46,10 +53,8 @@ class Answers(StatefulProcessor):
         self.parts = handle.getMapState("parts", "seq long", "data string")
         self.head = handle.getValueState("head", "held long, done long, sources string, src_seq long")
 
-    def _emit(self, key) -> pd.DataFrame:
-        parts = sorted((k[0], v[0]) for k, v in self.parts.iterator())
-        return pd.DataFrame({"stream_id": [key[0]], "content": ["".join(x for _, x in parts)],
-                             "sources": [self.head.get()[2]]})
+    def _held(self) -> dict:
+        return {k[0]: v[0] for k, v in self.parts.iterator()}
 
     def _end(self) -> None:
         self.parts.clear()
@@ -57,40 +62,71 @@ class Answers(StatefulProcessor):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held, done, sources, src_seq = self.head.get() if self.head.exists() else (0, -1, "[]", -1)
-        failed, latest = False, 0
-        for pdf in rows:
-            for seq, kind, data, millis in zip(pdf["seq"], pdf["type"], pdf["data"], pdf["millis"]):
-                seq, latest = int(seq), max(latest, int(millis))
-                if kind in ("content", "sources"):
-                    if not self.parts.containsKey((seq,)):
-                        held += 1
-                    self.parts.updateValue((seq,), (data if kind == "content" else "",))
-                    if kind == "sources" and seq > src_seq:
-                        sources, src_seq = data, seq
-                elif kind == "done":
-                    done = seq
-                elif kind == "error":
-                    failed = True
-        self.head.update((held, done, sources, src_seq))
+    def _take(self, frames: Iterator[tuple]) -> list[tuple]:
+        """Fragments (seq, type, data, millis) of one answer -> (content, sources) if it is whole now."""
+        begun = self.head.exists()
+        held, done, sources, src_seq = self.head.get() if begun else (0, -1, "[]", -1)
+        fresh, failed, latest = {}, False, 0
+        for seq, kind, data, millis in frames:
+            latest = max(latest, millis or 0)
+            if kind in ("content", "sources"):
+                fresh[seq] = data if kind == "content" else ""
+                if kind == "sources" and seq > src_seq:
+                    sources, src_seq = data, seq
+            elif kind == "done":
+                done = seq
+            elif kind == "error":
+                failed = True
+        held += sum(not self.parts.containsKey((seq,)) for seq in fresh) if begun else len(fresh)
         if failed or (done >= 0 and held >= done):
-            if not failed:
-                yield self._emit(key)
-            self._end()
-        else:
-            _move_timer(self.handle, max([latest + self.ends_after * 1000, *self.handle.listTimers()]))
+            # an answer that comes whole leaves nothing in the state
+            found = [] if failed else [(_joined({**(self._held() if begun else {}), **fresh}), sources)]
+            if begun:
+                self._end()
+            return found
+        for seq, data in fresh.items():
+            self.parts.updateValue((seq,), (data,))
+        self.head.update((held, done, sources, src_seq))
+        _move_timer(self.handle, max([latest + self.ends_after * 1000, *self.handle.listTimers()]))
+        return []
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def _expire(self) -> list[tuple]:
         # as in the batch form, an answer that was done counts with the frames that are there
-        if self.head.exists() and self.head.get()[1] >= 0:
-            yield self._emit(key)
+        done = self.head.exists() and self.head.get()[1] >= 0
+        found = [(_joined(self._held()), self.head.get()[2])] if done else []
         self._end()
+        return found
+
+    def _frame(self, key, found: list[tuple]) -> Iterator[pd.DataFrame]:
+        for content, sources in found:
+            yield pd.DataFrame({"stream_id": [key[0]], "content": [content], "sources": [sources]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames = ((int(seq), kind, data, int(millis)) for pdf in rows
+                  for seq, kind, data, millis in zip(pdf["seq"], pdf["type"], pdf["data"], pdf["millis"]))
+        return self._frame(key, self._take(frames))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self._frame(key, self._expire())
 
     def close(self) -> None:
         pass
 
 
+class AnswerRows(Answers):
+    """The same over plain rows, whose times may lie beyond the last one of pandas, in 2262."""
+
+    def _row(self, key, found: list[tuple]) -> Iterator[Row]:
+        for content, sources in found:
+            yield Row(stream_id=key[0], content=content, sources=sources)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        return self._row(key, self._take((r.seq, r.type, r.data, r.millis) for r in rows))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return self._row(key, self._expire())
+
+
 def assemble_answers(frames: DataFrame, ts: str = "ts", lateness: str = "10 minutes",
                      ends_after: int = ANSWER_ENDS_SECONDS) -> DataFrame:
     """(stream_id, seq, type, data, ts) stream -> one row per answer once it is complete.
@@ -99,10 +135,11 @@ def assemble_answers(frames: DataFrame, ts: str = "ts", lateness: str = "10 minu
     order and micro-batches; an ``error`` frame ends it without a row. State ends ``ends_after`` seconds
     after an answer's last frame, once the watermark is past it.
     """
-    timed = frames.select("stream_id", "seq", "type", "data", F.col(ts).alias("ts"),
-                          F.unix_millis(ts).alias("millis")).withWatermark("ts", lateness)
-    return timed.groupBy("stream_id").transformWithStateInPandas(
-        Answers(ends_after), "stream_id string, content string, sources string", "Append", "EventTime")
+    at = F.when(F.col(ts) > F.lit(LAST), F.lit(LAST)).otherwise(F.col(ts))
+    timed = frames.select("stream_id", "seq", "type", "data", at.alias("ts"),
+                          F.unix_millis(at).alias("millis")).withWatermark("ts", lateness)
+    return timed.groupBy("stream_id").transformWithState(
+        AnswerRows(ends_after), "stream_id string, content string, sources string", "Append", "EventTime")
 
 
 class History(StatefulProcessor):

@@ -261,6 +261,32 @@ def test_state_is_dropped_in_a_stream(spark, tmp_path):
     assert sorted(x[:2] for x in out) == [("later", "l"), ("next", "n")]
 
 
+def test_answers_of_far_times(spark, tmp_path):
+    """Times after 2262, which pandas does not have, and after 9999, which Python does not have."""
+    rows = [(name, seq, kind, f"{name}{seq}", seconds) for name, seconds in
+            (("a", 60), ("b", 18_000_360_420), ("c", 400_000_000_000))
+            for seq, kind in enumerate(("sources", "content", "content", "done"))]
+    path, out = str(tmp_path / "in"), []
+    df = spark.createDataFrame(rows, "stream_id STRING, seq BIGINT, type STRING, data STRING, s BIGINT").select(
+        "stream_id", "seq", "type", "data", F.timestamp_seconds("s").alias("ts"))
+    df.write.parquet(path)
+    q = (keyed.assemble_answers(spark.readStream.schema(df.schema).parquet(path)).writeStream
+         .foreachBatch(lambda b, i: out.extend(tuple(r) for r in b.collect()))
+         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    assert q.exception() is None
+    assert sorted(out) == [(x, f"{x}1{x}2", f"{x}0") for x in "abc"]
+
+
+def test_whole_answers_leave_no_state():
+    held, answers = Held(), keyed.Answers(3600)
+    answers.init(held)
+    batch = pd.DataFrame({"seq": [0, 1, 2], "type": ["sources", "content", "done"], "data": ["s", "x", ""],
+                          "millis": [0, 0, 0]})
+    out = list(answers.handleInputRows(("s",), iter([batch]), None))
+    assert (out[0]["content"][0], out[0]["sources"][0]) == ("x", "s") and held.written == 0
+
+
 # --- cutting -------------------------------------------------------------
 
 def plain_cut(text, size, overlap, seps=("\n\n", "\n", " ", "")):
