@@ -1,5 +1,8 @@
 """Plans that must hold at scale, and results with a third of all rows under one key."""
 
+import re
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from quillspark.operators import history as H
 from quillspark.operators import ranking as R
 from quillspark.operators import sparse as S
 from quillspark.operators.concat import concat_ordered
-from quillspark.plans import catalog
+from quillspark.plans import catalog, chunk_retrieval
 from quillspark.plans import derived as D
 from quillspark.plans.catalog import Tables
 
@@ -177,3 +180,39 @@ def test_text_files_lie_in_blocks(spark, tmp_path, monkeypatch):
         want.setdefault(i // 50, [odd, ""])[1] += f"第{i}条 {text.replace('é', '') if odd else text}\n"
     assert got == {k: (odd, hashlib.md5(x.encode()).hexdigest()) for k, (odd, x) in want.items()} and len(got) == 40
     assert len([x for x in os.listdir(tmp_path / "files") if "=" in x]) <= 4
+
+
+# --- retrieval over chunks -------------------------------------------------
+
+@pytest.mark.parametrize("positive", [True, False])
+def test_bm25_moves_no_pairs(spark, positive):
+    """Documents are scored where they are, with the same result for ties, and ids that repeat or are null."""
+    docs = [(None if i % 97 == 5 else f"d{i % 450}", " ".join(f"w{(i * k) % 23}" for k in range(1, 2 + i % 7)) if i % 50
+             else None) for i in range(600)]
+    df = spark.createDataFrame(docs, "id string, text string").repartition(5)
+    q = spark.createDataFrame([(n if n else None, f"w{n} w{n} w{n + 1} w0 w{3 * n}") for n in range(20)],
+                              "qid long, text string")
+    index = S.build_index(df)
+    got = S.bm25_top(index, q, 7, positive)
+    want = S.bm25_top(replace(index, rows=None), q, 7, positive)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    alone = S.build_index(df.filter("id is not null").dropDuplicates(["id"]))
+    pairs = re.compile(r"hashpartitioning\(qid#\w+, id#")
+    assert not pairs.search(plan(S.bm25_top(alone, q, 7, positive)))
+    assert pairs.search(plan(S.bm25_top(replace(alone, rows=None), q, 7, positive)))
+
+
+def test_chunk_texts_are_not_moved_to_their_vectors(spark, tmp_path):
+    """A chunk comes once for every vector of its number, and only its id meets the vectors."""
+    vectors = [(0, [1.0, 2.0]), (1, [3.0, 4.0]), (1, [5.0, 6.0]), (None, [7.0, 8.0])]
+    texts = [(i, f"text number {i} of some documents " * (40 if i == 2 else 1)) for i in range(6)] + [(2, "x y z " * 9)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tables(spark, str(tmp_path))
+    held, v = chunk_retrieval.chunk_vectors(t)
+    keyed = chunk_retrieval.chunk_corpus(t).withColumn("vec_id", (F.col("doc_id") * 31 + F.col("chunk_idx")) % 4)
+    want = keyed.join(t.embeddings, "vec_id").select("id", "text", "embedding")
+    for a, b in ((held, want.select("id", "text")), (v, want.select("id", "embedding"))):
+        assert sorted(map(str, (tuple(r) for r in a.collect()))) == sorted(map(str, (tuple(r) for r in b.collect())))
+    assert v.count() == want.count() > held.distinct().count() > 0
+    assert "hashpartitioning" not in plan(held)
